@@ -1,6 +1,7 @@
 """All SQL twins."""
 
-from renewlake.oracles import snapshots  # noqa: F401
+from renewlake.oracles import snapshots  # noqa: F401  (defines selects the others use)
+from renewlake.oracles import feature_store, ingest  # noqa: F401
 from renewlake.oracles.base import ORACLES
 
 __all__ = ["ORACLES"]

@@ -107,7 +107,7 @@ oracle("km_input", "SELECT * FROM s_km_input")
 
 
 def km(source: str, keys: str, day: str, at_risk0: str, events0: str) -> str:
-    return f"""SELECT {keys}, CAST({day} AS INTEGER) AS day, round(product(1 - events / at_risk) OVER (PARTITION BY {keys} ORDER BY {day}), 6) AS survival_prob,
+    return f"""SELECT {keys}, CAST({day} AS INTEGER) AS day, round(ROUND(product(1 - events / at_risk) OVER (PARTITION BY {keys} ORDER BY {day}), 6), 6) AS survival_prob,
   at_risk, events FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY {keys} ORDER BY {day} DESC) AS BIGINT) AS at_risk FROM {source})
 UNION ALL SELECT {keys}, 0, 1.0, {at_risk0}, {events0} FROM {source} GROUP BY {keys}"""
 

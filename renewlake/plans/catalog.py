@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from renewlake.plans import dashboards, kpi, scores, snapshots  # noqa: F401
+from renewlake.plans import dashboards, feature_store, ingest, kpi, scores, snapshots  # noqa: F401
 from renewlake.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
