@@ -28,14 +28,14 @@ def stage(name: str, partition_by: tuple[str, ...] = ()):
     return register
 
 
-def _input_key(spark: SparkSession, sf_dir: str) -> str:
+def input_key(spark: SparkSession, sf_dir: str) -> str:
     stamps = [file_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem")]
     return hashlib.sha256("|".join([sf_dir, *stamps]).encode()).hexdigest()[:16]
 
 
 def read_stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     build, partition_by = _BUILDERS[name]
-    path = f"{scratch_root(spark)}/stages/{_input_key(spark, sf_dir)}/{name}"
+    path = f"{scratch_root(spark)}/stages/{input_key(spark, sf_dir)}/{name}"
     if path not in _DONE:
         df = build(spark, sf_dir)
         if partition_by:
