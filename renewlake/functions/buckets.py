@@ -73,8 +73,9 @@ def activity_bucket(c) -> Column:
 # --- bands and bins --------------------------------------------------------------
 
 def risk_band(probability) -> Column:
-    p = clip(col(probability), 0.0, 1.0)
-    return first_match([(p >= limit, label) for limit, label in P.RISK_BANDS], "Very Low")
+    """Bands compare in single precision, so 0.6 reached by a sum of weights counts as 0.6."""
+    p = clip(col(probability), 0.0, 1.0).cast("float")
+    return first_match([(p >= F.lit(limit).cast("float"), label) for limit, label in P.RISK_BANDS], "Very Low")
 
 
 def risk_tier(band) -> Column:

@@ -335,8 +335,9 @@ def _every_day(spark, month: int) -> DataFrame:
 
 
 def churn_breakdown(kpis: DataFrame) -> DataFrame:
+    """Renewed and churned users from the total and the churn rate in percent."""
     total = F.greatest(F.col("total_expiring_users"), F.lit(0))
-    rate = clip(rate_to_pct("historical_churn_rate"), 0.0, 100.0)
+    rate = clip("historical_churn_rate", 0.0, 100.0)
     churned = clip(F.rint(total * rate / 100.0).cast("long"), 0)
     churned = F.least(churned, total)
     return kpis.select(
@@ -353,7 +354,8 @@ def chart_context(trend: DataFrame, heatmap: DataFrame, month: int) -> DataFrame
     usable = trend.where(F.col(MONTH) <= month)
     latest = usable.agg(F.max(MONTH).alias("m")).select(F.coalesce("m", F.lit(month)).alias("m"))
     context = latest.scalar()
-    parts = churn_breakdown(usable.where(F.col(MONTH) == context))
+    point = usable.where(F.col(MONTH) == context).withColumn("historical_churn_rate", rate_to_pct("historical_churn_rate"))
+    parts = churn_breakdown(point)
     return heatmap.where(F.col(MONTH) == context).join(parts, MONTH, "left").withColumn("requested_month", F.lit(month))
 
 

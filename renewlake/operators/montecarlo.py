@@ -1,7 +1,7 @@
 """Monte Carlo over simulation units: runs x units as rows, drawn in parallel.
 
 Members are first collapsed to units (groups of equal keys), so the job size is
-units x runs, whatever the number of members. Draws depend only on the seed, the
+units x blocks of runs, whatever the number of members. Draws depend only on the seed, the
 run and the unit's keys: any partitioning and any retry gives the same numbers.
 """
 
@@ -17,6 +17,7 @@ from renewlake import params as P
 from renewlake.params import MonteCarloConfig
 
 CHUNKS = 8
+RUNS_PER_BLOCK = 25
 
 
 def simulation_units(simulated: DataFrame) -> DataFrame:
@@ -36,9 +37,11 @@ _DRAWN = ("run_id long, users long, base_renewals double, scenario_renewals doub
           "price_only_revenue double, scenario_revenue double, campaign_cost double, auto_effect_multiplier double, "
           "engagement_effect_multiplier double, upsell_risk_multiplier double, upsell_amount_multiplier double")
 
+_DRAWN_COLUMNS = [part.split()[0] for part in _DRAWN.split(", ")]
+
 
 def _draw_group(cfg: MonteCarloConfig):
-    """Draws for one run and one chunk of units; a group holds at most units / CHUNKS rows."""
+    """Draws for a block of runs over one chunk of units; a group holds about units / CHUNKS rows."""
     spread = max(cfg.beta_concentration, 20.0)
 
     def multipliers(run_id: int) -> tuple[float, float, float, float]:
@@ -52,25 +55,22 @@ def _draw_group(cfg: MonteCarloConfig):
         return rng.binomial(users, share).astype(float)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        run_id, chunk = int(pdf["run_id"].iloc[0]), int(pdf["chunk"].iloc[0])
+        block, chunk = int(pdf["block"].iloc[0]), int(pdf["chunk"].iloc[0])
         u = pdf.sort_values("unit_key")
-        auto, engage, risk, price = multipliers(run_id)
-        rng = np.random.default_rng([cfg.seed, run_id, chunk])
-        base = u["baseline_churn_probability"].to_numpy()
-        shift = (u["auto_probability_delta"] * auto + u["engagement_probability_delta"] * engage
-                 + u["upsell_probability_delta"] * risk).to_numpy()
-        amount = u["expected_renewal_amount"].to_numpy()
-        after = np.maximum(amount + u["upsell_amount_delta"].to_numpy() * price, 0.0)
-        users = u["users"].to_numpy()
-        kept = renewals(rng, users, 1.0 - base)
-        kept_after = renewals(rng, users, 1.0 - np.clip(base + shift, 1e-4, 1 - 1e-4))
-        return pd.DataFrame({
-            "run_id": [run_id], "users": [int(users.sum())], "base_renewals": [kept.sum()],
-            "scenario_renewals": [kept_after.sum()], "baseline_revenue": [(kept * amount).sum()],
-            "price_only_revenue": [(kept * after).sum()], "scenario_revenue": [(kept_after * after).sum()],
-            "campaign_cost": [float(u["campaign_cost"].sum())], "auto_effect_multiplier": [auto],
-            "engagement_effect_multiplier": [engage], "upsell_risk_multiplier": [risk], "upsell_amount_multiplier": [price],
-        })
+        base, amount = u["baseline_churn_probability"].to_numpy(), u["expected_renewal_amount"].to_numpy()
+        deltas = u[["auto_probability_delta", "engagement_probability_delta", "upsell_probability_delta"]].to_numpy()
+        raised, users = u["upsell_amount_delta"].to_numpy(), u["users"].to_numpy()
+        cost, size = float(u["campaign_cost"].sum()), int(users.sum())
+        out = []
+        for run_id in range(block * RUNS_PER_BLOCK, min((block + 1) * RUNS_PER_BLOCK, cfg.n_iterations)):
+            strength = multipliers(run_id)
+            rng = np.random.default_rng([cfg.seed, run_id, chunk])
+            after = np.maximum(amount + raised * strength[3], 0.0)
+            shifted = np.clip(base + deltas @ np.array(strength[:3]), 1e-4, 1 - 1e-4)
+            kept, kept_after = renewals(rng, users, 1.0 - base), renewals(rng, users, 1.0 - shifted)
+            out.append((run_id, size, kept.sum(), kept_after.sum(), (kept * amount).sum(), (kept * after).sum(),
+                        (kept_after * after).sum(), cost, *strength))
+        return pd.DataFrame(out, columns=_DRAWN_COLUMNS)
 
     return draw
 
@@ -81,8 +81,9 @@ def monte_carlo_runs(units: DataFrame, cfg: MonteCarloConfig = MonteCarloConfig(
               "upsell_probability_delta", "expected_renewal_amount", "upsell_amount_delta", "campaign_cost")
     rows = units.select(key.alias("unit_key"), *needed).withColumn(
         "chunk", F.pmod(F.xxhash64("unit_key"), F.lit(CHUNKS)))
-    runs = F.explode(F.sequence(F.lit(0), F.lit(cfg.n_iterations - 1))).alias("run_id")
-    drawn = rows.select("*", runs).groupBy("run_id", "chunk").applyInPandas(_draw_group(cfg), _DRAWN)
+    last = (cfg.n_iterations - 1) // RUNS_PER_BLOCK
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")
+    drawn = rows.select("*", blocks).groupBy("block", "chunk").applyInPandas(_draw_group(cfg), _DRAWN)
     multipliers = ("auto_effect_multiplier", "engagement_effect_multiplier", "upsell_risk_multiplier", "upsell_amount_multiplier")
     total = F.greatest(F.sum("users"), F.lit(1))
     base, price, after, cost = (F.sum(c) for c in ("baseline_revenue", "price_only_revenue", "scenario_revenue", "campaign_cost"))

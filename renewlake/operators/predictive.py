@@ -31,13 +31,15 @@ def rule_probability(features: DataFrame, p: ScoreParams = ScoreParams()) -> Dat
 
 def score_outputs(predicted: DataFrame) -> DataFrame:
     """Percentile, decile, band and amounts at stake for a frame with probabilities."""
+    prob = F.col("churn_probability")
     label = ["is_churn"] if "is_churn" in predicted.columns else []
     dims = [c for c in DIMENSIONS if c in predicted.columns]
     base = predicted.select(
         "msno", "target_month", *label, clip(filled(AMOUNT), 0.0).alias(AMOUNT), "churn_probability_raw",
         "churn_probability", *dims)
-    ranked = percentile_rank(base, "churn_probability", "risk_percentile")
-    prob = F.col("churn_probability")
+    # Ranked in single precision: sums of the same weights in another order are ties.
+    base = base.withColumn("_p", prob.cast("float").cast("double"))
+    ranked = percentile_rank(base, "_p", "risk_percentile").drop("_p")
     return ranked.withColumns({
         "risk_decile": clip(F.ceil(F.col("risk_percentile") * 10), 1, 10).cast("int"),
         "risk_band": B.risk_band("churn_probability"),

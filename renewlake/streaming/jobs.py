@@ -111,7 +111,9 @@ def current_member_days(spark: SparkSession, table: str) -> DataFrame:
     return kpis.latest_version(stored, ["event_date", "msno"], "batch_id").drop("batch_id")
 
 
-def daily_upsert_stream(spark: SparkSession, events: DataFrame, out: str, available_now: bool = False) -> StreamingQuery:
+def daily_upsert_stream(
+    spark: SparkSession, events: DataFrame, out: str, available_now: bool = False, late: str = "2 days"
+) -> StreamingQuery:
     """Changed member-days are written by day and batch; the KPI of the touched days is recomputed.
 
     Both writes overwrite the folders of their own batch, so a repeated batch changes nothing.
@@ -131,7 +133,7 @@ def daily_upsert_stream(spark: SparkSession, events: DataFrame, out: str, availa
         touched = current_member_days(spark, table).join(days, "event_date", "left_semi")
         _write_batch(kpis.activity_from_member_days(touched), kpi_path, batch_id)
 
-    return start(member_day_state(events), write, f"{out}/checkpoints/daily", available_now, mode="update")
+    return start(member_day_state(events, late), write, f"{out}/checkpoints/daily", available_now, mode="update")
 
 
 def current_daily_kpi(spark: SparkSession, out: str) -> DataFrame:

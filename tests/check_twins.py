@@ -47,16 +47,26 @@ def duck(sf_dir: str):
     return con
 
 
-def compare(df, con, sql):
+def compare(df, con, sql, spent):
+    begun = time.time()
     names = sorted(df.columns)
     spark_rows = [tuple(normal(r[n]) for n in names) for r in df.select(*[f"`{n}`" for n in names]).collect()]
+    spent["spark"] = spent.get("spark", 0.0) + time.time() - begun
+    begun = time.time()
     rel = con.execute(sql)
     columns = [d[0] for d in rel.description]
     if sorted(columns) != names:
         only = set(names) ^ set(columns)
         return f"columns differ: {sorted(only)}", len(spark_rows)
     order = [columns.index(n) for n in names]
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE"}
+    spark_types = {f.name: kinds.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    other = {d[0]: str(d[1]) for d in rel.description}
+    off = [(n, spark_types[n], other[n]) for n in names if spark_types[n] != other[n]]
+    if off:
+        print(f"     types {off[:8]}", flush=True)
     duck_rows = [tuple(normal(r[i]) for i in order) for r in rel.fetchall()]
+    spent["duckdb"] = time.time() - begun
     if len(spark_rows) != len(duck_rows):
         return f"rows {len(spark_rows)} vs {len(duck_rows)}", len(spark_rows)
     a, b = sorted(spark_rows), sorted(duck_rows)
@@ -87,11 +97,12 @@ def main() -> int:
     for key, run in queries.items():
         if args.keys and not any(key == k or (k.endswith("*") and key.startswith(k[:-1])) for k in args.keys):
             continue
-        start = time.time()
+        start, spent = time.time(), {}
         try:
             df = run(spark, args.sf)
+            spent["spark"] = time.time() - start
             if key in oracles:
-                problem, n = compare(df, con, oracles[key])
+                problem, n = compare(df, con, oracles[key], spent)
             else:
                 problem, n = None, df.count()
         except Exception as error:  # report and go on
@@ -100,7 +111,8 @@ def main() -> int:
             bad += 1
             print(f"BAD  {key}: {problem or 'no rows'}", flush=True)
         elif args.time or args.keys:
-            print(f"ok   {key} rows={n} {'twin' if key in oracles else 'rows-only'} {time.time() - start:.1f}s", flush=True)
+            print(f"ok   {key} rows={n} {'twin' if key in oracles else 'rows-only'} {time.time() - start:.1f}s "
+                  + " ".join(f"{k}={v:.1f}" for k, v in spent.items()), flush=True)
     print(f"{len(queries)} queries, {len(oracles)} twins, {bad} bad")
     return 1 if bad else 0
 
