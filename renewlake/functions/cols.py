@@ -107,14 +107,29 @@ def parse_int(c) -> Column:
     return parse_float(c).try_cast("int")
 
 
+def _iso_text(t: Column, iso: bool, compact: bool) -> Column:
+    """The text as yyyy-mm-dd when it has one of the wanted shapes. Casting ISO text to a date
+    is far cheaper than a pattern formatter, and a bad value costs no exception."""
+    out = None
+    if iso:
+        out = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t)
+    if compact:
+        spelled = F.concat_ws("-", t.substr(1, 4), t.substr(5, 2), t.substr(7, 2))
+        shape = t.rlike(r"^\d{8}$")
+        out = F.when(shape, spelled) if out is None else out.when(shape, spelled)
+    return out
+
+
 def parse_date_compact(c) -> Column:
     """Exactly eight digits, yyyymmdd."""
-    t = text(c)
-    return F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd"))
+    return _iso_text(text(c), iso=False, compact=True).try_cast("date")
 
 
 def parse_date_flexible(c) -> Column:
     """yyyy-mm-dd, else yyyymmdd, else NULL."""
-    t = text(c)
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
-    return F.coalesce(iso, parse_date_compact(c))
+    return _iso_text(text(c), iso=True, compact=True).try_cast("date")
+
+
+def parse_date_iso(c) -> Column:
+    """yyyy-mm-dd, else NULL."""
+    return _iso_text(text(c), iso=True, compact=False).try_cast("date")

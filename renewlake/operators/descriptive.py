@@ -23,7 +23,10 @@ EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 ARTIFACT_BINS = ("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")
 CLUSTER_EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.000001)
 CLUSTER_BINS = {"0-20%": 0.10, "20-40%": 0.30, "40-60%": 0.50, "60-80%": 0.70, "80-100%": 0.90}
-USERS = F.count(F.lit(1)).alias("users")
+
+
+def users() -> Column:
+    return F.count(F.lit(1)).alias("users")
 
 
 def _segments(df: DataFrame, *kept: str) -> DataFrame:
@@ -70,7 +73,7 @@ def km_artifact(tab1: DataFrame) -> DataFrame:
 
 
 def segment_mix_artifact(tab1: DataFrame) -> DataFrame:
-    mix = _segments(tab1, MONTH).groupBy(MONTH, "segment_type", "segment_value").agg(USERS)
+    mix = _segments(tab1, MONTH).groupBy(MONTH, "segment_type", "segment_value").agg(users())
     totals = tab1.groupBy(MONTH).agg(F.count(F.lit(1)).alias("_total"))
     return mix.join(totals, MONTH).select(
         MONTH, "segment_type", "segment_value", "users", (F.col("users") / F.col("_total")).alias("user_share"),
@@ -83,7 +86,7 @@ def boredom_artifact(tab1: DataFrame) -> DataFrame:
         B.right_closed_bin("discovery_ratio", EDGES, ARTIFACT_BINS).alias("discovery_bin"),
         B.right_closed_bin("skip_ratio", EDGES, ARTIFACT_BINS).alias("skip_bin"),
     ).agg(
-        USERS,
+        users(),
         F.avg("is_churn").alias("avg_churn_rate"),
         F.avg("expected_renewal_amount").alias("avg_expected_renewal_amount"),
     ).withColumn("month_label", month_label(MONTH))
@@ -180,7 +183,7 @@ def behavior_clusters(tab1: DataFrame) -> DataFrame:
         B.left_closed_bin(clip(filled("discovery_ratio"), 0.0, 1.0), CLUSTER_EDGES, labels).alias("discovery_bin"),
         B.left_closed_bin(clip(filled("skip_ratio"), 0.0, 1.0), CLUSTER_EDGES, labels).alias("skip_bin"),
     ).agg(
-        USERS,
+        users(),
         F.avg(amount).alias("avg_expected_renewal_amount"),
         (F.avg(probability) * 100).alias("churn_rate_pct"),
         F.sum(amount * probability).alias("revenue_at_risk"),
@@ -288,7 +291,7 @@ def risk_heatmap(frame: DataFrame) -> DataFrame:
     counts = frame.groupBy(
         MONTH, B.value_tier("price_segment", "free_trial_flag", "deal_hunter_flag").alias("value_tier"),
         B.risk_segment("churn_rate").alias("risk_segment"),
-    ).agg(USERS)
+    ).agg(users())
     return _dense_heatmap(counts, counts.select(MONTH).distinct(), "risk_segment").na.fill({"users": 0}).drop(
         "value_tier_order", "risk_segment_order")
 
@@ -363,7 +366,7 @@ def segment_mix_payload(frame: DataFrame) -> DataFrame:
     known = F.when(F.col("churn_rate") >= 0, F.col("churn_rate"))
     rate = F.coalesce(F.avg(known) * 100, F.lit(0.0))
     return _segments(frame, MONTH, "churn_rate").groupBy(MONTH, "segment_type", "segment_value").agg(
-        USERS, rate.alias("churn_rate_pct"), (100.0 - rate).alias("retain_rate_pct"))
+        users(), rate.alias("churn_rate_pct"), (100.0 - rate).alias("retain_rate_pct"))
 
 
 KPI_COLUMNS = ("total_expiring_users", "historical_churn_rate", "overall_median_survival", "auto_renew_rate",

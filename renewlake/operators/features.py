@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from renewlake import params as P
 from renewlake.functions import buckets as B
-from renewlake.functions.cols import clip, flag, month_to_date, safe_divide, shift_month, yyyymm, yyyymmdd
+from renewlake.functions.cols import clip, flag, month_to_date, parse_date_compact, safe_divide, shift_month, yyyymm, yyyymmdd
 
 LOG_COLUMNS = ("num_25", "num_50", "num_75", "num_985", "num_100", "num_unq", "total_secs")
 PLAY_SUMS = ("num_25_sum", "num_50_sum", "num_75_sum", "num_985_sum", "num_100_sum")
@@ -86,7 +86,7 @@ def join_log_features(labels: DataFrame, log_agg: DataFrame) -> DataFrame:
 
 def _date(c: str) -> Column:
     """yyyymmdd number -> date, NULL for anything that is none."""
-    return F.try_to_date(F.col(c).cast("string"), "yyyyMMdd")
+    return parse_date_compact(c)
 
 
 def feat_dates(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _csv(spark, df, name: str) -> str:
 
 @query("csv_scan")
 def _(spark, sf):
-    path = _csv(spark, fx.raw_transactions(spark, sf), "raw-transactions")
+    path = _csv(spark, tb.raw_transactions(spark, sf), "raw-transactions")
     return files.read_csv_rows(spark, path, S.RAW_TRANSACTIONS)
 
 
@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query("csv_multi_source")
 def _(spark, sf):
-    raw = fx.raw_transactions(spark, sf)
+    raw = tb.raw_transactions(spark, sf)
     old = _csv(spark, raw.where("is_cancel = '0'"), "transactions-v1")
     new = _csv(spark, raw.where("is_cancel = '1'"), "transactions-v2")
     return files.read_csv_versions(spark, [old, new, f"{old}-absent"], S.RAW_TRANSACTIONS)
@@ -43,7 +43,7 @@ def _(spark, sf):
 
 @query("csv_chunk_scan")
 def _(spark, sf):
-    path = _csv(spark, fx.raw_user_logs(spark, sf), "raw-user-logs")
+    path = _csv(spark, tb.raw_user_logs(spark, sf), "raw-user-logs")
     logs = N.clean_user_logs(files.read_csv_rows(spark, path, S.RAW_USER_LOGS))
     return M.log_last(logs, "2023-01-01", "2023-09-01")
 
@@ -63,7 +63,7 @@ def _(spark, sf):
 
 @query("csv_sink")
 def _(spark, sf):
-    path = _csv(spark, N.clean_transactions(fx.raw_transactions(spark, sf)).drop("rid"), "clean-transactions")
+    path = _csv(spark, N.clean_transactions(tb.raw_transactions(spark, sf)).drop("rid"), "clean-transactions")
     back = files.read_csv_typed(spark, path, S.TRANSACTIONS, S.TRANSACTIONS.fieldNames())
     return back.groupBy("transaction_date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("actual_amount_paid").alias("paid"), F.sum("is_cancel").alias("cancels"))
@@ -85,7 +85,7 @@ _LOADED = "2024-03-01 00:00:00"
 
 @query("bulk_load_transactions")
 def _(spark, sf):
-    facts, _ = N.load_transactions(fx.raw_transactions(spark, sf), _LOADED)
+    facts, _ = N.load_transactions(tb.raw_transactions(spark, sf), _LOADED)
     path = new_path(spark, "fact-transactions")
     files.write_month_partitions(facts, path, "transaction_date")
     return spark.read.parquet(path).drop("processed_at", "yyyymm")
@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @query("bulk_load_counts")
 def _(spark, sf):
-    return N.load_transactions(fx.raw_transactions(spark, sf), _LOADED)[1]
+    return N.load_transactions(tb.raw_transactions(spark, sf), _LOADED)[1]
 
 
 @query("bulk_load_members")
@@ -152,12 +152,12 @@ def _(spark, sf):
 
 @query("clean_transactions")
 def _(spark, sf):
-    return N.clean_transactions(fx.raw_transactions(spark, sf))
+    return N.clean_transactions(tb.raw_transactions(spark, sf))
 
 
 @query("clean_user_logs")
 def _(spark, sf):
-    return N.clean_user_logs(fx.raw_user_logs(spark, sf))
+    return N.clean_user_logs(tb.raw_user_logs(spark, sf))
 
 
 @query("clean_train")
@@ -173,21 +173,21 @@ def _(spark, sf):
 
 @query("parse_date_flexible")
 def _(spark, sf):
-    return fx.raw_transactions(spark, sf).select(
+    return tb.raw_transactions(spark, sf).select(
         "rid", C.parse_date_flexible("transaction_date").alias("transaction_date"),
         C.parse_date_flexible("membership_expire_date").alias("membership_expire_date"))
 
 
 @query("parse_int_lenient")
 def _(spark, sf):
-    return fx.raw_transactions(spark, sf).select(
+    return tb.raw_transactions(spark, sf).select(
         "rid", C.parse_int("plan_list_price").alias("list_price"), C.parse_int("actual_amount_paid").alias("paid"),
         C.parse_int("is_auto_renew").alias("auto"))
 
 
 @query("parse_float_lenient")
 def _(spark, sf):
-    return fx.raw_user_logs(spark, sf).groupBy("date").agg(
+    return tb.raw_user_logs(spark, sf).groupBy("date").agg(
         F.count(C.parse_float("total_secs")).alias("parsed"), F.count(F.lit(1)).alias("rows"),
         F.sum(C.parse_float("total_secs")).alias("secs"))
 
@@ -196,8 +196,8 @@ def _(spark, sf):
 def _(spark, sf):
     parts = [
         N.drop_counts("members", N.typed_members(fx.raw_members(spark, sf)), N.valid_members()),
-        N.drop_counts("transactions", N.typed_transactions(fx.raw_transactions(spark, sf)), N.valid_transactions()),
-        N.drop_counts("user_logs", N.typed_user_logs(fx.raw_user_logs(spark, sf)), N.valid_user_logs()),
+        N.drop_counts("transactions", N.typed_transactions(tb.raw_transactions(spark, sf)), N.valid_transactions()),
+        N.drop_counts("user_logs", N.typed_user_logs(tb.raw_user_logs(spark, sf)), N.valid_user_logs()),
         N.drop_counts("train", N.typed_train(fx.raw_train(spark, sf)), N.valid_train()),
     ]
     out = parts[0]
@@ -215,13 +215,13 @@ def _(spark, sf):
 
 @query("tx_expiry_fix")
 def _(spark, sf):
-    return L.fix_expiry(N.typed_transactions(fx.raw_transactions(spark, sf))).select(
+    return L.fix_expiry(N.typed_transactions(tb.raw_transactions(spark, sf))).select(
         "rid", "transaction_date", "membership_expire_date", "invalid_expire_before_txn", "transaction_month", "expire_month")
 
 
 @query("prepare_facts")
 def _(spark, sf):
-    logs = E.parse(E.encode(fx.raw_user_logs(spark, sf), "user_logs"), S.USER_LOGS)
+    logs = E.parse(E.encode(tb.raw_user_logs(spark, sf), "user_logs"), S.USER_LOGS)
     return N.prepare_user_log_fact(logs).drop("processed_at").groupBy("log_date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("total_secs").alias("secs"), F.sum("num_unq").alias("unq"))
 
@@ -246,7 +246,7 @@ def _(spark, sf):
 
 def _iso_logs(spark, sf):
     """Raw logs whose dates are ISO where they parse, as the cleaned files have them."""
-    raw = fx.raw_user_logs(spark, sf)
+    raw = tb.raw_user_logs(spark, sf)
     return raw.withColumn("date", F.coalesce(F.date_format(C.parse_date_flexible("date"), "yyyy-MM-dd"), "date"))
 
 
@@ -272,7 +272,7 @@ def _(spark, sf):
 
 @query("replay_date_filter")
 def _(spark, sf):
-    raw = fx.raw_transactions(spark, sf)
+    raw = tb.raw_transactions(spark, sf)
     valid = E.filter_from_start(raw, "transaction_date", "2023-06-01").withColumn("start", F.lit("2023-06-01"))
     bad = E.filter_from_start(raw, "transaction_date", "2023/06/01").withColumn("start", F.lit("2023/06/01"))
     return valid.unionByName(bad).groupBy("start", F.col("transaction_date").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
@@ -304,7 +304,7 @@ def _(spark, sf):
 @query("stream_fact_and_kpi")
 def _(spark, sf):
     source, out = new_path(spark, "tx-topic"), new_path(spark, "tx-stream")
-    raw = N.typed_transactions(fx.raw_transactions(spark, sf).drop("rid")).where(N.valid_transactions())
+    raw = N.typed_transactions(tb.raw_transactions(spark, sf).drop("rid")).where(N.valid_transactions())
     text = raw.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("transaction_date", "membership_expire_date")})
     E.write_messages(E.encode(text, "transactions", ("transaction_date",)), source, order_by="transaction_date")
     _drain(jobs.transaction_stream(E.message_files(spark, source), out, available_now=True))

@@ -47,3 +47,22 @@ def _scored_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stage(spark, sf_dir, "scored_cohort")
+
+
+@stage("raw_transactions")
+def _raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.raw_transactions(spark, sf_dir)
+
+
+@stage("raw_user_logs")
+def _raw_user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.raw_user_logs(spark, sf_dir)
+
+
+def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty text rows as they were landed."""
+    return read_stage(spark, sf_dir, "raw_transactions")
+
+
+def raw_user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_stage(spark, sf_dir, "raw_user_logs")

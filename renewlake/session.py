@@ -13,6 +13,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Wide projections (text
+    # parsing, feature layers, scenarios) pass that limit; beyond it Spark then generates
+    # split methods, which do get compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from renewlake.functions.cols import parse_float, parse_int, text
+from renewlake.functions.cols import parse_date_iso, parse_float, parse_int, text
 from renewlake.sources import schemas as S
 
 EVENT_SCHEMAS = {"members": S.MEMBERS, "transactions": S.TRANSACTIONS, "user_logs": S.USER_LOGS}
@@ -57,8 +57,8 @@ def filter_from_start(rows: DataFrame, date_column: str, start: str | None) -> D
     no ISO date are kept; blank dates are dropped."""
     day = text(date_column)
     rows = rows.where(day != "")
-    iso = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd"))
-    start_day = F.try_to_date(F.lit((start or "").strip()), "yyyy-MM-dd")
+    iso = parse_date_iso(day)
+    start_day = parse_date_iso(F.lit((start or "").strip()))
     return rows.where(start_day.isNull() | iso.isNull() | (iso >= start_day))
 
 
@@ -69,7 +69,7 @@ def replay_days(rows: DataFrame, date_column: str, start: str | None = None, max
     ranked (one row per calendar day); the rows join that short list.
     """
     day = text(date_column)
-    dated = rows.withColumn("replay_date", F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd")))
+    dated = rows.withColumn("replay_date", parse_date_iso(day))
     dated = dated.where((text("msno") != "") & F.col("replay_date").isNotNull())
     if start is not None:
         dated = dated.where(F.col("replay_date") >= F.lit(start).cast("date"))
