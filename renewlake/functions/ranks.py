@@ -12,14 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 64
+RANGES = 256
 
 
 def _range_of(value: Column, splits: list[float]) -> Column:
-    out = F.lit(0)
-    for s in splits:
-        out = out + (value > F.lit(s)).cast("int")
-    return out
+    """Number of split points below the value."""
+    if not splits:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < value))
 
 
 def cumulative_counts(df: DataFrame, value: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def cumulative_counts(df: DataFrame, value: str, extra: dict[str, Column] | None
         .agg(*[c.alias(name) for name, c in sums.items()])
     )
     probs = [i / RANGES for i in range(1, RANGES)]
-    splits = sorted(set(counts.approxQuantile(value, probs, 0.005)))
+    splits = sorted(set(counts.approxQuantile(value, probs, 0.002)))
     ranged = counts.withColumn("_range", _range_of(F.col(value), splits))
 
     # At most RANGES rows: the un-partitioned window below is bounded.

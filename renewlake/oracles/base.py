@@ -11,7 +11,7 @@ _NAME = re.compile(r"\b[ds]_[a-z0-9_]+\b")
 
 
 def cte(name: str, sql: str) -> None:
-    CTES[name] = sql
+    CTES[name] = nudge_rounding(sql)
 
 
 def oracle(key: str, sql: str) -> None:

@@ -329,9 +329,9 @@ def _(spark, sf):
     # arrive in any order, so the watermark spans the month.
     path, out = new_path(spark, "event-files"), new_path(spark, "daily-stream")
     logs = fx.event_logs(spark, sf).select("event_id", "ts", "msno", "num_unq", "total_secs")
-    logs.repartitionByRange(3, "ts").write.parquet(path)
-    logs.where(F.col("ts") < F.lit("2024-01-02 12:00:00").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    logs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "ts").write.parquet(path)
+    logs.where(F.col("ts") < F.lit("2024-01-02 12:00:00").cast("timestamp")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(path)
     _drain(jobs.daily_upsert_stream(spark, stream, out, available_now=True, late="31 days"))
     return jobs.current_daily_kpi(spark, out)
 

@@ -80,10 +80,8 @@ def replay_days(rows: DataFrame, date_column: str, start: str | None = None, max
     return dated.join(days, "replay_date")
 
 
-def write_messages(messages: DataFrame, path: str, order_by: str | None = None, files: int = 3) -> None:
+def write_messages(messages: DataFrame, path: str, order_by: str | None = None) -> None:
     """Message files in replay order: each file holds whole days when ordered by a date column."""
     if order_by:
-        messages = messages.repartitionByRange(files, order_by).drop(order_by)
-    else:
-        messages = messages.repartition(files)
+        messages = messages.repartitionByRange(order_by)
     messages.select("key", "value").write.mode("overwrite").parquet(path)

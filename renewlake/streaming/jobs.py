@@ -23,11 +23,24 @@ TRIGGER = "10 seconds"
 
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool,
           mode: str = "append") -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(_once(handle))
     trigger = {"availableNow": True} if available_now else {"processingTime": TRIGGER}
     return writer.trigger(**trigger).start()
 
 
+def _once(handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep the batch while it is looked at more than once, and skip empty batches."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            if not kept.isEmpty():
+                handle(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    return run
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder per micro-batch: a batch that runs again replaces its own output."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch_id={batch_id}")
@@ -46,12 +59,10 @@ def fact_and_kpi(
     events = parse(messages, schema)
 
     def write_facts(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            _write_batch(prepare(batch), f"{out}/fact", batch_id)
+        _write_batch(prepare(batch), f"{out}/fact", batch_id)
 
     def write_kpis(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            _write_batch(aggregate(batch).withColumn("processed_at", F.current_timestamp()), f"{out}/kpi", batch_id)
+        _write_batch(aggregate(batch).withColumn("processed_at", F.current_timestamp()), f"{out}/kpi", batch_id)
 
     return [
         start(events, write_facts, f"{out}/checkpoints/fact", available_now),
@@ -74,8 +85,6 @@ def churn_risk_stream(
     events = parse(messages, S.USER_LOGS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         kpi = kpis.churn_risk_kpi(kpis.churn_risk_features(batch, read_profile()))
         _write_batch(kpi.withColumn("processed_at", F.current_timestamp()), f"{out}/kpi", batch_id)
 
@@ -107,7 +116,7 @@ def member_day_state(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 def current_member_days(spark: SparkSession, table: str) -> DataFrame:
     """Newest version of every member-day."""
-    stored = spark.read.schema(MEMBER_DAY).option("basePath", table).parquet(table)
+    stored = spark.read.schema(MEMBER_DAY).parquet(table)
     return kpis.latest_version(stored, ["event_date", "msno"], "batch_id").drop("batch_id")
 
 
@@ -121,16 +130,14 @@ def daily_upsert_stream(
     table, kpi_path = f"{out}/member_day", f"{out}/kpi"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         changed = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
         (
             changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
             .partitionBy("event_date", "batch_id").parquet(table)
         )
-        days = batch.select("event_date").distinct()
-        # The day list is short and prunes the table's partitions when it is read.
-        touched = current_member_days(spark, table).join(days, "event_date", "left_semi")
+        # At most as many days as the watermark leaves open; as literals they prune the partitions.
+        days = [r["event_date"] for r in batch.select("event_date").distinct().collect()]
+        touched = current_member_days(spark, table).where(F.col("event_date").isin(days))
         _write_batch(kpis.activity_from_member_days(touched), kpi_path, batch_id)
 
     return start(member_day_state(events, late), write, f"{out}/checkpoints/daily", available_now, mode="update")
