@@ -83,7 +83,10 @@ def monte_carlo_runs(units: DataFrame, cfg: MonteCarloConfig = MonteCarloConfig(
         "chunk", F.pmod(F.xxhash64("unit_key"), F.lit(CHUNKS)))
     last = (cfg.n_iterations - 1) // RUNS_PER_BLOCK
     blocks = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")
-    drawn = rows.select("*", blocks).groupBy("block", "chunk").applyInPandas(_draw_group(cfg), _DRAWN)
+    # The rows are few but costly: keep every partition, which adaptive coalescing would merge.
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select("*", blocks).repartition(tasks, "block", "chunk")
+    drawn = spread.groupBy("block", "chunk").applyInPandas(_draw_group(cfg), _DRAWN)
     multipliers = ("auto_effect_multiplier", "engagement_effect_multiplier", "upsell_risk_multiplier", "upsell_amount_multiplier")
     total = F.greatest(F.sum("users"), F.lit(1))
     base, price, after, cost = (F.sum(c) for c in ("baseline_revenue", "price_only_revenue", "scenario_revenue", "campaign_cost"))

@@ -28,6 +28,7 @@ def local_session(cpus: int | str = "*", app: str = "renewlake", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", shuffle)
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))  # small local files still split
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():
