@@ -9,6 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from renewlake.functions.cols import clip
@@ -60,6 +61,17 @@ def select_features(train: DataFrame, score: DataFrame) -> list[str]:
     return [c for c in numeric_columns(train) if c in score.columns and c not in EXCLUDED]
 
 
+def feature_summary(df: DataFrame, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, mean, variance and non-zero values of many columns, one vector aggregate per group."""
+    vectors = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="keep").transform(df.select(*by, *names))
+    summary = Summarizer.metrics("count", "mean", "variance", "numNonZeros").summary(F.col("_v"))
+    groups = vectors.groupBy(*by).agg(summary.alias("s"))
+    zipped = F.arrays_zip(
+        F.array(*[F.lit(n) for n in names]).alias("feature"), vector_to_array("s.mean").alias("mean"),
+        vector_to_array("s.variance").alias("variance"), vector_to_array("s.numNonZeros").alias("nonzero"))
+    return groups.select(*by, F.col("s.count").alias("rows"), F.explode(zipped).alias("r")).select(*by, "rows", "r.*")
+
+
 def class_weight(train: DataFrame) -> DataFrame:
     positive = F.sum("is_churn")
     negative = F.count(F.lit(1)) - positive

@@ -96,7 +96,7 @@ oracle("risk_band_mix", """SELECT band, user_count, round(b.revenue_at_risk, 4)
   CAST(CASE band WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 3 END AS INTEGER) AS sort_order FROM s_bands b""")
 _GROUP = "CASE " + " ".join(f"WHEN feature IN ({', '.join(q(n) for n in names)}) THEN '{g}'" for g, names in P.FEATURE_GROUPS.items()) + " ELSE 'other' END"
 cte("s_gain", f"""SELECT {_GROUP} AS feature_group, sum(gain) AS gain, CAST(sum(split) AS BIGINT) AS split, count(*) AS n FROM (SELECT feature, abs(avg(x) FILTER (y = 1) - avg(x) FILTER (y = 0)) / (1 + stddev_pop(x)) AS gain,
-  count(*) FILTER (x <> -1) AS split FROM s_long GROUP BY feature) GROUP BY 1""")
+  count(*) FILTER (x <> 0) AS split FROM s_long GROUP BY feature) GROUP BY 1""")
 cte("s_wf", f"""SELECT feature_group, {case('feature_group', P.FEATURE_GROUP_LABELS)} AS display_name, gain, split, n, share * t AS contribution, share * 100 AS pct, CAST(row_number() OVER (ORDER BY o, gain DESC, feature_group) AS INTEGER) AS position
   FROM (SELECT feature_group, gain, split, n, 0.7 * gain / sum(gain) OVER () AS share, 1 AS o FROM s_gain WHERE gain > 0 UNION ALL SELECT 'base_risk', 0.0, 0, 0, 0.3, 0), (SELECT sum(risk) AS t FROM s_sc)""")
 oracle("feature_waterfall", """SELECT feature_group, display_name, round(gain, 4) AS importance_gain, split AS importance_split, n AS feature_count, round(contribution, 4) AS contribution,

@@ -80,16 +80,11 @@ def _(spark, sf):
     return out
 
 
-def _long(df: DataFrame, names: list[str], *kept: str) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x")) for n in names]))
-    return df.select(*kept, pairs.alias("p")).select(*kept, "p.feature", "p.x")
-
-
 @query("feature_select")
 def _(spark, sf):
     parts = T.time_split(features(spark, sf), fx.VALID_MONTH, fx.SCORE_MONTH)
     names = T.select_features(parts["train"], parts["score"])
-    return _long(parts["train"], names).groupBy("feature").agg(F.count("x").alias("rows"), F.avg("x").alias("mean"))
+    return T.feature_summary(parts["train"], names).select("feature", "rows", "mean")
 
 
 @query("class_weight")
@@ -176,11 +171,16 @@ def importance_proxy(spark, sf) -> DataFrame:
     """Gap of the class means per feature on the train months, a repeatable stand-in for gains."""
     parts = T.time_split(features(spark, sf), fx.VALID_MONTH, fx.SCORE_MONTH)
     names = T.select_features(parts["train"], parts["score"])
-    churned = F.avg(F.when(F.col("is_churn") == 1, F.col("x")))
-    stayed = F.avg(F.when(F.col("is_churn") == 0, F.col("x")))
-    return _long(parts["train"], names, "is_churn").groupBy("feature").agg(
-        (F.abs(churned - stayed) / (1 + F.stddev_pop("x"))).alias("importance_gain"),
-        F.sum(F.when(F.col("x") != -1, 1).otherwise(0)).alias("importance_split"))
+    stats = T.feature_summary(parts["train"], names, by=("is_churn",))
+    of = lambda label, c: F.max(F.when(F.col("is_churn") == label, F.col(c)))
+    two = stats.groupBy("feature").agg(
+        *[of(y, c).alias(f"{c}{y}") for y in (0, 1) for c in ("rows", "mean", "variance")], F.sum("nonzero").alias("nonzero"))
+    n0, n1 = F.col("rows0"), F.col("rows1")
+    gap = F.col("mean1") - F.col("mean0")
+    squares = (n0 - 1) * F.col("variance0") + (n1 - 1) * F.col("variance1") + n0 * n1 / (n0 + n1) * gap * gap
+    spread = F.sqrt(squares / (n0 + n1))
+    return two.select("feature", (F.abs(gap) / (1 + spread)).alias("importance_gain"),
+                      F.col("nonzero").cast("long").alias("importance_split"))
 
 
 @query("feature_waterfall")
