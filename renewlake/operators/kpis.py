@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from renewlake import params as P
 from renewlake.functions.cols import count_if
-from renewlake.operators.snapshot import recency_key
+from renewlake.operators.snapshot import last_row
 
 
 def transaction_kpi(tx: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def activity_from_member_days(member_day: DataFrame) -> DataFrame:
 
 def tx_profile(tx: DataFrame) -> DataFrame:
     """Flags of each member's last transaction."""
-    key = recency_key(tx)
-    return tx.groupBy("msno").agg(
-        F.max_by("is_cancel", key).cast("double").alias("is_cancel"),
-        F.max_by("is_auto_renew", key).cast("double").alias("is_auto_renew"),
+    return tx.groupBy("msno").agg(last_row(tx, "is_cancel", "is_auto_renew").alias("_last")).select(
+        "msno",
+        F.col("_last.is_cancel").cast("double").alias("is_cancel"),
+        F.col("_last.is_auto_renew").cast("double").alias("is_auto_renew"),
     )
 
 

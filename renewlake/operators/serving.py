@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from renewlake import params as P
 from renewlake.functions.cols import month_start, upper_median
-from renewlake.operators.snapshot import recency_key
+from renewlake.operators.snapshot import last_row
 
 
 def half_even(c, digits: int):
@@ -79,7 +79,7 @@ def month_options_kpi(kpi_tables: list[DataFrame], snapshot: DataFrame, tx: Data
         months = t.select(month_start("event_date").alias("m"))
         kpi = months if kpi is None else kpi.unionByName(months)
     kpi = kpi.distinct()
-    last = tx.groupBy("msno").agg(F.max_by("membership_expire_date", recency_key(tx)).alias("e"))
+    last = tx.groupBy("msno").agg(last_row(tx).alias("_last")).select(F.col("_last.membership_expire_date").alias("e"))
     fallback = (
         snapshot.select(F.col("snapshot_month").alias("m"))
         .unionByName(last.select(month_start("e").alias("m")))
@@ -95,11 +95,14 @@ def latest_month(tx: DataFrame) -> DataFrame:
 
 
 def _last_in_month(tx: DataFrame) -> DataFrame:
-    key = recency_key(tx)
     return tx.groupBy("msno", month_start("membership_expire_date").alias("month_start")).agg(
-        F.max_by("membership_expire_date", key).alias("last_expire_date"),
-        F.max_by("is_cancel", key).alias("last_is_cancel"),
-        F.max_by("is_auto_renew", key).alias("last_is_auto_renew"),
+        last_row(tx, "is_cancel", "is_auto_renew").alias("_last")
+    ).select(
+        "msno",
+        "month_start",
+        F.col("_last.membership_expire_date").alias("last_expire_date"),
+        F.col("_last.is_cancel").alias("last_is_cancel"),
+        F.col("_last.is_auto_renew").alias("last_is_auto_renew"),
     )
 
 

@@ -14,10 +14,14 @@ from renewlake.functions.cols import clip, month_start, safe_divide
 PLAYS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 
 
-def recency_key(df: DataFrame) -> Column:
-    """Order of a member's transactions; the row id makes it total when there is one."""
+def last_row(df: DataFrame, *payload: str) -> Column:
+    """Aggregate: the last transaction by payment date, expiry and row id, as one struct.
+
+    One maximum carries all wanted columns, so the buffer holds a single row; without a row
+    id the payload itself settles ties.
+    """
     names = ["transaction_date", "membership_expire_date"] + (["rid"] if "rid" in df.columns else [])
-    return F.struct(*names)
+    return F.max(F.struct(*names, *[c for c in payload if c not in names]))
 
 
 def in_window(df: DataFrame, c: str, start=None, end=None) -> DataFrame:
@@ -36,28 +40,33 @@ def snapshot_months(logs: DataFrame, start, date_column: str = "date") -> DataFr
 
 def tx_last(tx: DataFrame, start=None, end=None) -> DataFrame:
     """Last expiry and flags, transaction count, mean list price per day, first payment."""
-    key = recency_key(tx)
     price_per_day = F.col("plan_list_price") / F.greatest(F.col("payment_plan_days"), F.lit(1))
     return (
         in_window(tx, "membership_expire_date", start, end)
         .groupBy("msno", month_start("membership_expire_date").alias("snapshot_month"))
         .agg(
-            F.max_by("membership_expire_date", key).alias("last_expire_date"),
-            F.max_by("is_cancel", key).alias("churned"),
-            F.max_by("is_auto_renew", key).alias("is_auto_renew"),
+            last_row(tx, "is_cancel", "is_auto_renew").alias("_last"),
             F.count(F.lit(1)).alias("tx_count"),
             F.avg(price_per_day).alias("avg_price_per_day"),
             F.min("transaction_date").alias("first_tx_date"),
         )
+        .select(
+            "msno",
+            "snapshot_month",
+            F.col("_last.membership_expire_date").alias("last_expire_date"),
+            F.col("_last.is_cancel").alias("churned"),
+            F.col("_last.is_auto_renew").alias("is_auto_renew"),
+            "tx_count",
+            "avg_price_per_day",
+            "first_tx_date",
+        )
     )
 
 
 def tx_features_history(tx: DataFrame, start=None, end=None) -> DataFrame:
     """Same grain for the history load: zero plan days count as unknown, then the list price stands in."""
-    key = recency_key(tx)
     days = F.nullif(F.col("payment_plan_days"), F.lit(0))
     price_per_day = F.coalesce(F.try_divide(F.col("plan_list_price"), days), F.col("plan_list_price"))
-    latest = F.max_by(F.struct("membership_expire_date", "is_cancel", "is_auto_renew"), key)
     return (
         in_window(tx, "membership_expire_date", start, end)
         .groupBy("msno", month_start("membership_expire_date").alias("snapshot_month"))
@@ -66,7 +75,7 @@ def tx_features_history(tx: DataFrame, start=None, end=None) -> DataFrame:
             F.avg(price_per_day).alias("avg_price_per_day"),
             F.min("transaction_date").alias("first_tx_date"),
             F.max("transaction_date").alias("last_tx_date"),
-            latest.alias("_latest"),
+            last_row(tx, "is_cancel", "is_auto_renew").alias("_latest"),
         )
         .select(
             "msno",

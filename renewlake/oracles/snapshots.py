@@ -135,10 +135,9 @@ cte("s_dash_metrics", f"""SELECT snapshot_month AS month_start, count(*) AS tota
 oracle("dashboard_metrics", """SELECT month_start, total_expiring_users, round(historical_churn_rate, 4) AS historical_churn_rate,
   round(auto_renew_rate, 4) AS auto_renew_rate FROM s_dash_metrics""")
 oracle("dashboard_survival", "SELECT month_start, median_survival_days FROM s_dash_metrics")
-_JUNE = "event_date >= DATE '2023-06-01' AND event_date < DATE '2023-07-01'"
-oracle("revenue_series", f"SELECT event_date, round(total_revenue, 4) AS total_revenue, total_transactions FROM s_kpi_rev WHERE {_JUNE}")
-oracle("risk_series", f"SELECT event_date, high_risk_users, round(avg_risk_score, 6) AS avg_risk_score FROM s_kpi_risk WHERE {_JUNE}")
-oracle("activity_series", f"""SELECT event_date, active_users, round(total_listening_secs, 4) AS total_listening_secs FROM s_kpi_act WHERE {_JUNE}""")
+oracle("revenue_series", f"SELECT event_date, round(total_revenue, 4) AS total_revenue, total_transactions FROM s_kpi_rev")
+oracle("risk_series", f"SELECT event_date, high_risk_users, round(avg_risk_score, 6) AS avg_risk_score FROM s_kpi_risk")
+oracle("activity_series", f"""SELECT event_date, active_users, round(total_listening_secs, 4) AS total_listening_secs FROM s_kpi_act""")
 oracle("as_of", """SELECT strftime(max(d) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS as_of FROM (
   SELECT max(transaction_date) AS d FROM d_tx UNION ALL SELECT max(date) FROM d_logs)""")
 oracle("snapshot_fallback", """SELECT month_start, CASE WHEN s.n > 0 THEN s.n ELSE f.total_expiring_users END AS total_expiring_users,

@@ -79,17 +79,17 @@ def _(spark, sf):
 
 @query("revenue_series")
 def _(spark, sf):
-    return Q.of_month(Q.revenue_series(tb.kpi_revenue(spark, sf)), "2023-06-01", "2023-07-01")
+    return Q.revenue_series(tb.kpi_revenue(spark, sf))
 
 
 @query("risk_series", digits=6)
 def _(spark, sf):
-    return Q.of_month(Q.risk_series(tb.kpi_churn_risk(spark, sf)), "2023-06-01", "2023-07-01")
+    return Q.risk_series(tb.kpi_churn_risk(spark, sf))
 
 
 @query("activity_series")
 def _(spark, sf):
-    return Q.of_month(Q.activity_series(tb.kpi_activity(spark, sf)), "2023-06-01", "2023-07-01")
+    return Q.activity_series(tb.kpi_activity(spark, sf))
 
 
 @query("as_of")

@@ -319,7 +319,7 @@ def _(spark, sf):
 def _(spark, sf):
     source, out = _event_messages(spark, sf, "log-topic"), new_path(spark, "risk-stream")
     _drain(jobs.churn_risk_stream(
-        E.message_files(spark, source), lambda: K.tx_profile(fx.transactions(spark, sf)), out, available_now=True))
+        E.message_files(spark, source), lambda: tb.tx_profile(spark, sf), out, available_now=True))
     return jobs.read_batches(spark, f"{out}/kpi").drop("processed_at", "batch_id")
 
 

@@ -23,10 +23,20 @@ def kpi_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_churn_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = K.tx_profile(fx.transactions(spark, sf_dir))
+    profile = tx_profile(spark, sf_dir)
     return loaded(K.churn_risk_kpi(K.churn_risk_features(fx.user_logs(spark, sf_dir), profile)))
 
 
+@stage("tx_profile")
+def _tx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.tx_profile(fx.transactions(spark, sf_dir))
+
+
+def tx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored last flags per member, small enough to read again for every micro-batch."""
+    return read_stage(spark, sf_dir, "tx_profile")
+
+
 @stage("snapshot", partition_by=("source", "snapshot_month"))
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.history_and_realtime(
