@@ -7,7 +7,6 @@ run and the unit's keys: any partitioning and any retry gives the same numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

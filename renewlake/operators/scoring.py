@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from renewlake.functions.buckets import first_match
-from renewlake.functions.cols import clip, count_if, filled, safe_divide
+from renewlake.functions.cols import clip, filled
 from renewlake.params import ScoreParams
 
 DRIVERS = ("Manual Renewal", "Low Activity", "High Skip Ratio", "Low Discovery", "Cancel Signal")
