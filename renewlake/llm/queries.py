@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import bpe, line_dedup, mixing, ngram_join, substrings
+from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, substrings, topk
 from renewlake.llm.common import read_table
+from renewlake.llm.vectors import one_per_id
 
 QUERIES = {}
 
@@ -37,6 +38,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_per_id(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    whole = rows.select("vec_id", F.transform("vec", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
+    return topk.top_inner_products(whole, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
