@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, substrings, topk
-from renewlake.llm.common import read_table
+from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, quality, substrings, topk, toxicity
+from renewlake.llm.common import crc_mod, read_table
 from renewlake.llm.vectors import one_per_id
 
 QUERIES = {}
@@ -30,6 +30,15 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copy", "shuffle_key", "doc.text")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels, crc_mod("doc_id", 3) != 1)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(read_table(spark, sf_dir, "documents"), byte_bpe_file(), decoded=True)
@@ -62,6 +71,15 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = quality.train_quality(docs, labels, crc_mod("doc_id", 5) != 0)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
