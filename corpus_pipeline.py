@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import line_dedup, mixing
-from renewlake.llm.common import read_table, stored
+from renewlake.llm import bpe, line_dedup, mixing, ngram_join, quality
+from renewlake.llm.common import crc_mod, read_table, stored
+from renewlake.llm.queries import byte_bpe_file, token_digests
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_QUALITY = 0.3
+BROADCAST_IDS = 1_000_000
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train_quality(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    scored = quality.score_quality(docs, model, carry=DOCUMENT_COLUMNS)
+    return scored.where(F.col("score") >= LEAST_QUALITY).select("doc.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; documents stay, with n_chars of the text that is left."""
-    kept = line_dedup.dedup_lines(docs).select("doc_id", "text_hash", F.col("text").alias("kept")).dropDuplicates(
-        ["doc_id", "text_hash"])
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"]))
-    return joined.select(
-        rows["doc_id"], F.col("kept").alias("text"), "lang", "source",
-        F.char_length("kept").cast("long").alias("n_chars"))
+    """Repeated lines go; every document stays, with n_chars of the text that is left."""
+    kept = line_dedup.dedup_lines(docs, carry=["doc_id", "lang", "source"])
+    return kept.select("doc.doc_id", "text", "doc.lang", "doc.source",
+                       F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Rows that repeat its id are the same document and stay; so do rows without an id.
+    """
+    found = ngram_join.jaccard_components(docs)
+    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "near-duplicates")
+    if gone.count() <= BROADCAST_IDS:  # beyond, the documents are shuffled
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +44,27 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix_sources(docs).select(*[F.col("doc")[c].alias(c) for c in DOCUMENT_COLUMNS])
 
 
-STAGES = [("line_dedup", line_dedup_stage), ("mixing", mixing_stage)]
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of the text decoded from them."""
+    return token_digests(bpe.encode(docs, byte_bpe_file(), decoded=True))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("source_mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written as Parquet and read again by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
-# The classifier and the tokenizer cannot be said in SQL; tests hold run() against plain Python.
+# The classifier and the tokenizer cannot be said in SQL; a test holds run() against plain Python.
 ORACLE_SQL = None

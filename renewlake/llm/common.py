@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from renewlake.session import apply_runtime_conf
@@ -32,9 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only id and text, under fixed names: other columns cannot clash with an operator's own."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             carry: Sequence[str] | None = None) -> DataFrame:
+    """Id and text under fixed names; the columns to carry along are packed into `doc`, so no name can clash."""
+    packed = [] if carry is None else [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *packed)
 
 
 def crc_mod(id_col: str | Column, modulus: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from renewlake.llm.common import ASCII_SPACE, prepared, stored, texts_of
@@ -98,8 +100,8 @@ def _in_batches(spark: SparkSession, docs: DataFrame, n_batches: int, min_chars:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fan_in: int = 3,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Drop repeated lines: (doc_id, text_hash, n_lines, n_dropped, text), one row per input row.
+                id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """Drop repeated lines: (doc_id, text_hash, n_lines, n_dropped, text[, doc]), one row per input row.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of
     at least `min_chars` code points that `min_docs` or more documents hold lose all their
@@ -110,10 +112,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
 
     Defined cases: a null or empty text is one empty line (kept text ''); a null doc_id holds
     no key and loses no line; rows that repeat a doc_id count as one document; an empty table
-    gives an empty table; further columns are ignored.
+    gives an empty table; further columns are ignored, but for those named in `carry`, which
+    come back in `doc`.
     """
     spark = prepared(docs.sparkSession)
-    docs = texts_of(docs, id_col, text_col)
+    docs = texts_of(docs, id_col, text_col, carry)
     lines, n = _in_batches(spark, docs, n_batches, min_chars)
     runs = LineRuns(fan_in)
     for i in range(n):
@@ -128,4 +131,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
         F.array_join(F.transform(kept_at, lambda i: F.get("lines", i)), "\n"))
     return parts.select(
         "doc_id", "text_hash", F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"),
+        *([] if carry is None else ["doc"]))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from renewlake.llm.common import prepared, texts_of
 from renewlake.llm.labelled import labelled_texts
@@ -217,8 +218,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, settings: S
     return Model(settings, contexts, mean, spread, layers, _temperature(_forward(x[~seen], layers), y[~seen]))
 
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the calibrated probability of label 1 for every whole text.
+def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+                  carry: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, score[, doc]): the calibrated probability of label 1 for every whole text.
 
     A word's vector is the sum of the random index vectors of its neighbours over all
     documents (words by hash bucket; an index vector also stands for the word's shape, so
@@ -226,10 +228,12 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     two-layer network scores it and a temperature, fitted on rows set aside, calibrates it.
 
     Defined cases: a null or empty text is pooled to zeros and scored; repeated rows score
-    alike; null ids stay; an empty table gives an empty table; further columns are ignored.
-    Without labelled rows every score is 0.5.
+    alike; null ids stay; an empty table gives an empty table; further columns are ignored,
+    but for those named in `carry`, which come back in `doc`. Without labelled rows every
+    score is 0.5.
     """
     sent = prepared(docs.sparkSession).sparkContext.broadcast(model)
+    rows = texts_of(docs, id_col, text_col, carry)
 
     def run(batches):
         m = sent.value
@@ -239,6 +243,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 x = pooled(indexer, m.contexts, batch.column(1).to_pylist())
                 z = _forward(np.clip((x - m.mean) / m.spread, -8, 8), m.layers) / m.temperature
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+                    [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), *batch.columns[2:]],
+                    names=["doc_id", "score", "doc"][: batch.num_columns])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    kept = [f for f in rows.schema.fields if f.name == "doc"]
+    return rows.mapInArrow(run, T.StructType(
+        [T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *kept]))

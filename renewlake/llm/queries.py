@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, quality, substrings, topk, toxicity
+from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, pii, quality, substrings, topk, toxicity
 from renewlake.llm.common import crc_mod, read_table
 from renewlake.llm.vectors import one_per_id
 
 QUERIES = {}
 
+# Users pass their own secret; the registered query's is fixed so that its result is.
+PII_KEY = b"surrogates of the registered query"
+
 
 def byte_bpe_file() -> str:
     """Where the public tokenizer file lies."""
@@ -39,12 +42,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
 
 
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """Number of tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.encode(read_table(spark, sf_dir, "documents"), byte_bpe_file(), decoded=True)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return token_digests(bpe.encode(read_table(spark, sf_dir, "documents"), byte_bpe_file(), decoded=True))
 
 
 @query
@@ -80,6 +87,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from renewlake.llm.common import prepared, stored, texts_of
 from renewlake.llm.labelled import labelled_texts
+from renewlake.llm.words import RunHashes, WordHashes
 
 PREFIXES = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -21,8 +22,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Settings:
     max_labelled: int = 60_000  # labelled rows that the model is fitted on
     max_features: int = 20_000  # words and word beginnings that the model keeps
-    prior_share: float = 0.02  # weight of the Dirichlet prior, as a share of the labelled documents
-    least_z: float = 3.0  # how far a feature's log-odds must stand out
+    prior_share: float = 0.002  # weight of the Dirichlet prior, as a share of the labelled documents
+    least_prior: float = 10.0  # and at least so many documents
+    doubt: float = 1.5  # standard errors taken off a feature's log-odds to get its lower bound
+    least_odds: float = 2.0  # lower bound that a feature must reach
     least_docs: int = 3  # toxic documents a feature must occur in
     drift: float = -0.3  # score of a token without a feature
     significant: float = 0.01  # p-value of a passage
@@ -30,7 +33,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    scores: dict  # feature -> (z, log-odds); a word is written "word", a beginning "begin*"
+    scores: dict  # feature -> (lower bound, log-odds); a word is written "word", a beginning "begin*"
     drift: float
     scale: float  # Karlin-Altschul lambda of the scores
     log_k: float  # and the logarithm of its K
@@ -102,6 +105,29 @@ def evidence(model: Model, at: list, scores: list, n: int) -> tuple[float, list]
     return min(20.0, -min(x[3] for x in found)) + np.log(len(found)), found
 
 
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """Of labelled texts with the same least hash of eight words one stays, twice over: copies would count as proof."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            marks = ([], [])
+            for text in batch.column(1).to_pylist():
+                words = hashes.of((text or "").encode().lower().split())
+                at = np.arange(max(1, len(words) - 7))
+                ends = np.minimum(at + 8, len(words))
+                for which, mark in enumerate(marks):
+                    mark.append(int(RunHashes(words, which).of(at, ends).min().view(np.int64)) if len(words) else 0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(m, pa.int64()) for m in marks]], names=["doc_id", "text", "y", "m1", "m2"])
+
+    marked = rows.mapInArrow(run, "doc_id long, text string, y int, m1 long, m2 long")
+    for mark in ("m1", "m2"):
+        least = marked.groupBy(mark).agg(F.min("doc_id").alias("least"))
+        marked = marked.join(least, mark).where("doc_id = least").drop("least")
+    return marked.select("doc_id", "text", "y")
+
+
 def _word_counts(train: DataFrame) -> DataFrame:
     """(word, fold, toxic, clean): documents with the word, by label."""
 
@@ -129,17 +155,17 @@ def _model(counts: DataFrame, n_toxic: int, n_clean: int, s: Settings) -> Model:
             F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES])).alias("f"),
         "toxic", "clean").where("f is not null").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     whole = n_toxic + n_clean
-    weight = max(1.0, s.prior_share * whole)
+    weight = max(s.least_prior, s.prior_share * whole)
     # Word beginnings sum words, so a document may count more than once; no share exceeds one half here.
     prior = weight * F.least((F.col("t") + F.col("c")) / whole, F.lit(0.5))
     share_t = F.least((F.col("t") + prior) / (n_toxic + weight), F.lit(1.0))
     share_c = F.least((F.col("c") + prior) / (n_clean + weight), F.lit(1.0))
     odds = begins.select("f", "c", F.log(share_t / share_c).alias("d"),
                          F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("e"), "t")
-    odds = odds.where((F.col("d") > 0) & (F.col("t") >= s.least_docs)).withColumn("z", F.col("d") / F.col("e")).where(
-        F.col("z") >= s.least_z)
-    top = odds.orderBy(F.desc("z"), "f").limit(s.max_features).collect()
-    scores = {r["f"]: (r["z"], r["d"]) for r in top}
+    odds = odds.withColumn("low", F.col("d") - s.doubt * F.col("e")).where(
+        (F.col("t") >= s.least_docs) & (F.col("low") >= s.least_odds))
+    top = odds.orderBy(F.desc("low"), "f").limit(s.max_features).collect()
+    scores = {r["f"]: (r["low"], r["d"]) for r in top}
     # Share of clean tokens with each feature; lambda solves E[exp(lambda * score)] = 1 for clean text.
     tokens = counts.agg(F.sum("clean")).first()[0] or 1
     p = np.array([(r["c"] + 0.1) / (tokens + 1) for r in top])
@@ -206,7 +232,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, settings:
                    label_col: str = "toxic") -> Model:
     """Fit on labelled rows: one half's counts judge the other half for the calibration, then all counts are used."""
     rows = labelled_texts(texts_of(docs), labels, label_col, train, settings.max_labelled)
-    rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-train")
+    rows = stored(_one_of_copies(stored(rows, "toxic-labelled")).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-train")
     sizes = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = {y: [sizes.get((f, y), 0) for f in (0, 1)] for y in (0, 1)}
     if not sum(n[0]) or not sum(n[1]):  # nothing to tell apart: the share of the labels for every text
