@@ -5,61 +5,82 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from renewlake.llm.common import prepared, stored, texts_of
 from renewlake.llm.components import connected_components
 from renewlake.llm.words import RunHashes, WordHashes
 
-SKETCH_BITS = 18  # buckets of the token counts, which only order the tokens
+SKETCH_BITS = 18  # hash buckets of the word and token counts, which only order the tokens
 BLOCK_TOKENS = 500_000  # tokens that one block of a group, or of its queries, may hold
 BROADCAST_DOCS = 100_000
 
 
 def _sets(size: int, hashes: WordHashes, texts):
-    """Sorted distinct hashes of the word shingles of each text."""
+    """Of each text: word hashes, sorted distinct shingle hashes, and a place where each shingle occurs."""
     for text in texts:
         words = hashes.of((text or "").encode().lower().split())
         if not len(words):
-            yield words
+            yield words, words, np.empty(0, np.int64)
             continue
         k = min(size, len(words))
         at = np.arange(len(words) - k + 1)
-        yield np.unique(RunHashes(words).of(at, at + k))
+        yield words, *np.unique(RunHashes(words).of(at, at + k), return_index=True)
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def token_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """In how many documents the tokens of each hash bucket occur: 2^18 sums over all documents."""
+def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """Counts by hash bucket over all documents: of words, and of the documents that hold a token. 2 * 2^18 sums."""
 
     def run(batches):
-        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        hashes, counts = WordHashes(), np.zeros((2, 1 << SKETCH_BITS), np.int64)
         for batch in batches:
-            found = [_bucket(t) for t in _sets(size, hashes, batch.column(0).to_pylist())]
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=len(counts))
+            found = [(w, t) for w, t, _ in _sets(size, hashes, batch.column(0).to_pylist())]
+            for kind in range(2 if found else 0):
+                counts[kind] += np.bincount(_bucket(np.concatenate([f[kind] for f in found])), minlength=counts.shape[1])
         at = np.flatnonzero(counts)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts.ravel()[at])], names=["bucket", "n"])
 
     sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = sums.toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(2 << SKETCH_BITS, np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    return counts.reshape(2, -1)
+
+
+class Rarity:
+    """About how many documents hold a token: any fixed order is right, one with the rare first shuffles little.
+
+    Words met independently would make a token as frequent as the product of their shares
+    says; the count of the token's own bucket tells repeated passages, where it stands out.
+    """
+
+    def __init__(self, counts: np.ndarray, size: int):
+        self.size, self.tokens = size, counts[1]
+        self.words = np.log((counts[0] + 1) / max(1, counts[0].sum()))
+        self.total = np.log(max(1, counts[1].sum()))
+        self.noise = 2 * counts[1].mean() + 8
+
+    def of(self, words: np.ndarray, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
+        share = np.concatenate([[0.0], np.cumsum(self.words[_bucket(words)])])
+        ends = np.minimum(places + self.size, len(words))
+        own = self.tokens[_bucket(tokens)]
+        seen = np.where(own > self.noise, np.log(own + 1.0), 0.0)
+        return np.round(np.maximum(share[ends] - share[places] + self.total, seen), 1)
 
 
 def _signatures(size: int, percent: int, counts):
     """Set size, set hash and prefix of each document: its rarest tokens, one of which any partner shares."""
 
     def run(batches):
-        hashes, order = WordHashes(), counts.value
+        hashes, order = WordHashes(), Rarity(counts.value, size)
         for batch in batches:
             ns, ones, twos, prefixes = [], [], [], []
-            for tokens in _sets(size, hashes, batch.column(2).to_pylist()):
+            for words, tokens, places in _sets(size, hashes, batch.column(2).to_pylist()):
                 n = len(tokens)
                 ns.append(n)
                 both = RunHashes(tokens), RunHashes(tokens, 1)
@@ -67,7 +88,7 @@ def _signatures(size: int, percent: int, counts):
                 ones.append(one)
                 twos.append(two)
                 least = -(-percent * n // 100)  # tokens a partner must share at least
-                rare = np.lexsort((tokens, order[_bucket(tokens)]))[: n - least + 1] if n else []
+                rare = np.lexsort((tokens, order.of(words, tokens, places)))[: n - least + 1] if n else []
                 prefixes.append(tokens[rare].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(ones, pa.int64()),
@@ -81,7 +102,7 @@ def _full_sets(size: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [t.tobytes() for t in _sets(size, hashes, batch.column(1).to_pylist())]
+            sets = [t.tobytes() for _, t, _ in _sets(size, hashes, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
     return run
@@ -122,6 +143,23 @@ def _open_groups(percent: int):
     return run
 
 
+def _enough(percent: int, least: Column, most: Column) -> Column:
+    """Whether c shared prefix tokens allow a link of a set of n tokens with one of least to most tokens.
+
+    Of two sets, take the one whose prefix ends first in the order: its prefix tokens that the
+    other lacks in its own prefix it lacks altogether, so the overlap is at most the set's size
+    less those. The overlap that a link needs bounds c from below; a link also bounds the sizes.
+    """
+    n, c = F.col("n"), F.col("c")
+
+    def floor_of(other: Column) -> Column:
+        need = F.ceil((n + other) * percent / (100 + percent) - 1e-9)
+        return need - F.ceil(F.greatest(n, other) * percent / 100 - 1e-9) + 1
+
+    low, high = F.greatest(least, F.ceil(n * percent / 100 - 1e-9)), F.least(most, F.floor(n * 100 / percent + 1e-9))
+    return (low <= high) & (c >= F.least(floor_of(low), floor_of(high)))
+
+
 def _links(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between queries asked(rep, n, grp, blk) and members(rep, grp, blk), blocks of both bounded."""
     load = asked.groupBy("grp", "blk").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
@@ -145,12 +183,12 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     union; component_id is the smallest doc_id that links reach.
 
     Equal sets are one representative. Any two linked sets share one of their rarest
-    (100 - percent) % tokens; ranked by token counts over all documents, those prefixes are
-    all that is shuffled of most documents. Similar documents first form groups: each asks the
-    first document of most of its prefix tokens and joins its group if they link. The
-    token-group matrix holds each group's union of prefix tokens; a document opens a group it
-    is not part of only if the matrix has one of its tokens there, sizes allow it and the
-    overlap with the group's token union reaches the bound. Groups are cut into
+    (100 - percent) % tokens; ordered by counts over all documents, those prefixes are all
+    that is shuffled of most documents. Similar documents first form groups: each asks the
+    document that most of its prefix tokens name and joins its group if they link. The
+    token-group matrix holds each group's union of prefix tokens; a document asks a group it
+    is not part of only if it shares as many of them as the sizes demand (`_enough`), and opens
+    it only if its overlap with the group's whole token union reaches the bound. Groups are cut into
     blocks of bounded size. As a group is connected, the first link into a block will do:
     a group of copies costs a few rows per document, never its pairs.
 
@@ -163,7 +201,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
         raise ValueError("percent must be above 50 and at most 100")
     spark = prepared(docs.sparkSession)
     rows = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    counts = spark.sparkContext.broadcast(token_counts(rows, size))
+    counts = spark.sparkContext.broadcast(bucket_counts(rows, size))
     signed = stored(rows.mapInArrow(
         _signatures(size, percent, counts),
         "doc_id long, text_hash long, n int, s1 long, s2 long, prefix array<long>"), "signatures")
@@ -182,23 +220,25 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     live = stored(tokens.join(often, "token", "left_semi"), "shared-tokens")
-    wanted = stored(reps.join(live.select("rep").distinct(), "rep", "left_semi").select(
-        "rep", "doc_id", "text_hash"), "wanted")
-    if wanted.count() <= BROADCAST_DOCS:  # beyond, both sides are shuffled
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
-    sets = stored(texts.mapInArrow(_full_sets(size), "rep long, tokens binary").dropDuplicates(["rep"]), "sets")
-
-    # Groups: each document asks the leader that most of its tokens name.
+    names = stored(reps.select("rep", "doc_id", "text_hash"), "representatives")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        which = stored(wanted.distinct().join(names, "rep"), "wanted")
+        if which.count() <= BROADCAST_DOCS:  # beyond, both sides are shuffled
+            which = F.broadcast(which)
+        texts = rows.join(which, ["doc_id", "text_hash"]).select("rep", "text")
+        return stored(texts.mapInArrow(_full_sets(size), "rep long, tokens binary"), "sets")
+
+    # Groups: each document asks the leader that most of its tokens name, if the bound lets them link.
     leaders = live.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("leader"))
     named = (live.join(leaders, "token").where("rep != leader.rep")
-             .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("votes"))
-             .where("100 * leader.n >= {0} * n".format(percent)))
-    chosen = named.groupBy("rep", "n").agg(F.max(F.struct("votes", "leader")).alias("best")).select(
-        "rep", "n", F.col("best.leader.rep").alias("grp"), F.lit(0).alias("blk"))
-    chosen = stored(chosen, "leaders")
+             .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
+             .where(_enough(percent, F.col("leader.n"), F.col("leader.n"))))
+    chosen = stored(named.groupBy("rep", "n").agg(F.max(F.struct("c", "leader")).alias("best")).select(
+        "rep", "n", F.col("best.leader.rep").alias("grp"), F.lit(0).alias("blk")), "leaders")
     alone = chosen.select("grp").distinct().select(F.col("grp").alias("rep"), "grp", F.lit(0).alias("blk"))
-    stars = stored(_links(chosen, alone, sets, percent), "star-links")
+    stars = stored(_links(
+        chosen, alone, sets_of(chosen.select("rep").unionAll(alone.select("rep"))), percent), "star-links")
     grouped = connected_components(stars)
 
     # The matrix: which blocks of which groups have a token.
@@ -211,15 +251,23 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     live = live.join(placed.select("rep", "grp", "blk"), "rep")
     spread = live.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
     live = stored(live.join(spread.select("token"), "token", "left_semi"), "open-tokens")
-    matrix = live.groupBy("token", "grp", "blk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    asked = (live.select("token", "rep", "n", F.col("grp").alias("own"))
-             .join(matrix, "token")
-             .where(f"own < grp and 100 * most_n >= {percent} * n and 100 * n >= {percent} * least_n")
-             .select("rep", "n", "grp", "blk").distinct())
-    links = stored(_links(stored(asked, "asked"), placed.select("rep", "grp", "blk"), sets, percent), "group-links")
+    sizes = placed.groupBy("grp", "blk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    # A pair's sizes differ by at most the ratio of two neighbouring bands.
+    matrix = live.select("token", "grp", "blk", band.alias("band")).distinct()
+    asked = (live.select("token", "rep", "n", F.col("grp").alias("own"),
+                         F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+             .join(matrix, ["token", "band"]).where("own < grp")
+             .groupBy("rep", "n", "grp", "blk").agg(F.count_distinct("token").alias("c"))
+             .join(sizes, ["grp", "blk"])
+             .where(_enough(percent, F.col("least_n"), F.col("most_n"))).select("rep", "n", "grp", "blk"))
+    asked = stored(asked, "asked")
+    opened = placed.select("rep", "grp", "blk").join(asked.select("grp", "blk").distinct(), ["grp", "blk"])
+    links = stored(_links(
+        asked, opened, sets_of(asked.select("rep").unionAll(opened.select("rep"))), percent), "group-links")
 
     named_edges = stars.unionAll(links)
-    names = reps.select("rep", "doc_id")
+    names = names.select("rep", "doc_id")
     edges = named_edges.join(names.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a").join(
         names.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
     found = connected_components(edges.unionAll(copies), "x", "y")
