@@ -218,8 +218,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
 
     # Tokens that two or more representatives share.
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    live = stored(tokens.join(often, "token", "left_semi"), "shared-tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    live = stored(tokens.join(often, "token"), "shared-tokens")
     names = stored(reps.select("rep", "doc_id", "text_hash"), "representatives")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -230,7 +230,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
         return stored(texts.mapInArrow(_full_sets(size), "rep long, tokens binary"), "sets")
 
     # Groups: each document asks the leader that most of its tokens name, if the bound lets them link.
-    leaders = live.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("leader"))
+    # The original of a group of copies has the tokens of all of them and few of its own.
+    typical = live.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("typical"))
+    leaders = live.join(typical, "rep").groupBy("token").agg(
+        F.max(F.struct("typical", "rep", "n")).alias("leader"))
     named = (live.join(leaders, "token").where("rep != leader.rep")
              .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
              .where(_enough(percent, F.col("leader.n"), F.col("leader.n"))))
@@ -248,7 +251,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     loads = placed.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     placed = stored(placed.join(loads, "grp").select(
         "rep", "n", "grp", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int").alias("blk")), "groups")
-    live = live.join(placed.select("rep", "grp", "blk"), "rep")
+    live = live.drop("df").join(placed.select("rep", "grp", "blk"), "rep")
     spread = live.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
     live = stored(live.join(spread.select("token"), "token", "left_semi"), "open-tokens")
     sizes = placed.groupBy("grp", "blk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
