@@ -98,8 +98,13 @@ def text(c) -> Column:
     return F.coalesce(F.trim(col(c).cast("string")), F.lit(""))
 
 
+# A plain decimal number or a name of a special value. The cast alone would also take type
+# suffixes ("12d", "1.5f") and hexadecimal numbers ("0x1p3").
+NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))$"
+
+
 def parse_float(c) -> Column:
-    return text(c).try_cast("double")
+    return F.when(text(c).rlike(NUMBER), text(c)).try_cast("double")
 
 
 def parse_int(c) -> Column:

@@ -1,8 +1,9 @@
 """Monte Carlo over simulation units: runs x units as rows, drawn in parallel.
 
 Members are first collapsed to units (groups of equal keys), so the job size is
-units x blocks of runs, whatever the number of members. Draws depend only on the seed, the
-run and the unit's keys: any partitioning and any retry gives the same numbers.
+units x blocks of runs, whatever the number of members. Draws depend on the seed, the block
+of runs and the units of a chunk: any partitioning and any retry gives the same numbers, but
+another unit in a chunk changes its neighbours' draws.
 """
 
 from __future__ import annotations
@@ -39,37 +40,39 @@ _DRAWN = ("run_id long, users long, base_renewals double, scenario_renewals doub
 _DRAWN_COLUMNS = [part.split()[0] for part in _DRAWN.split(", ")]
 
 
-def _draw_group(cfg: MonteCarloConfig):
-    """Draws for a block of runs over one chunk of units; a group holds about units / CHUNKS rows."""
-    spread = max(cfg.beta_concentration, 20.0)
+def _block_draws(cfg: MonteCarloConfig):
+    """Draws for a block of runs over one chunk of units, as arrays of runs x units.
 
-    def multipliers(run_id: int) -> tuple[float, float, float, float]:
-        rng = np.random.default_rng([cfg.seed, run_id])
-        bounds = ((cfg.auto_effect_std, 0.4, 1.6), (cfg.engagement_effect_std, 0.4, 1.8),
-                  (cfg.upsell_risk_std, 0.4, 1.8), (cfg.upsell_amount_std, 0.7, 1.4))
-        return tuple(float(np.clip(rng.normal(1.0, std), low, high)) for std, low, high in bounds)
-
-    def renewals(rng, users, stay):
-        share = rng.beta(np.maximum(stay * spread, 1.0), np.maximum((1.0 - stay) * spread, 1.0))
-        return rng.binomial(users, share).astype(float)
+    The function holds plain numbers only, so that workers need not have this package.
+    """
+    seed, n_runs, weight = cfg.seed, cfg.n_iterations, max(cfg.beta_concentration, 20.0)
+    # Deviation, least and most of the four effect multipliers: auto, engagement, upsell risk, upsell amount.
+    effects = np.array([[cfg.auto_effect_std, 0.4, 1.6], [cfg.engagement_effect_std, 0.4, 1.8],
+                        [cfg.upsell_risk_std, 0.4, 1.8], [cfg.upsell_amount_std, 0.7, 1.4]])
+    per_block, columns = RUNS_PER_BLOCK, list(_DRAWN_COLUMNS)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         block, chunk = int(pdf["block"].iloc[0]), int(pdf["chunk"].iloc[0])
-        u = pdf.sort_values("unit_key")
-        base, amount = u["baseline_churn_probability"].to_numpy(), u["expected_renewal_amount"].to_numpy()
-        deltas = u[["auto_probability_delta", "engagement_probability_delta", "upsell_probability_delta"]].to_numpy()
-        raised, users = u["upsell_amount_delta"].to_numpy(), u["users"].to_numpy()
-        cost, size = float(u["campaign_cost"].sum()), int(users.sum())
-        out = []
-        for run_id in range(block * RUNS_PER_BLOCK, min((block + 1) * RUNS_PER_BLOCK, cfg.n_iterations)):
-            strength = multipliers(run_id)
-            rng = np.random.default_rng([cfg.seed, run_id, chunk])
-            after = np.maximum(amount + raised * strength[3], 0.0)
-            shifted = np.clip(base + deltas @ np.array(strength[:3]), 1e-4, 1 - 1e-4)
-            kept, kept_after = renewals(rng, users, 1.0 - base), renewals(rng, users, 1.0 - shifted)
-            out.append((run_id, size, kept.sum(), kept_after.sum(), (kept * amount).sum(), (kept * after).sum(),
-                        (kept_after * after).sum(), cost, *strength))
-        return pd.DataFrame(out, columns=_DRAWN_COLUMNS)
+        units = pdf.sort_values("unit_key")
+        column = {c: units[c].to_numpy() for c in units.columns}
+        runs = np.arange(block * per_block, min((block + 1) * per_block, n_runs))
+        # Every chunk of a block draws the same multipliers; the renewals are the chunk's own.
+        normal = np.random.default_rng([seed, block]).standard_normal((per_block, 4))[: len(runs)]
+        strength = np.clip(1.0 + normal * effects[:, 0], effects[:, 1], effects[:, 2])
+        risk = np.stack([np.broadcast_to(column["baseline_churn_probability"], (len(runs), len(units))), np.clip(
+            column["baseline_churn_probability"] + strength[:, :1] * column["auto_probability_delta"]
+            + strength[:, 1:2] * column["engagement_probability_delta"]
+            + strength[:, 2:3] * column["upsell_probability_delta"], 1e-4, 1 - 1e-4)])
+        rng = np.random.default_rng([seed, block, chunk + 1])
+        share = rng.beta(np.maximum((1.0 - risk) * weight, 1.0), np.maximum(risk * weight, 1.0))
+        before, after = rng.binomial(column["users"], share).astype(float)
+        old_pay = column["expected_renewal_amount"]
+        new_pay = np.maximum(old_pay + strength[:, 3:] * column["upsell_amount_delta"], 0.0)
+        sums = [before.sum(1), after.sum(1), before @ old_pay, (before * new_pay).sum(1), (after * new_pay).sum(1)]
+        table = pd.DataFrame(dict(zip(columns[2:7], sums)))
+        table[columns[8:]] = strength
+        return table.assign(run_id=runs, users=int(column["users"].sum()),
+                            campaign_cost=float(column["campaign_cost"].sum()))[columns]
 
     return draw
 
@@ -85,7 +88,7 @@ def monte_carlo_runs(units: DataFrame, cfg: MonteCarloConfig = MonteCarloConfig(
     # The rows are few but costly: keep every partition, which adaptive coalescing would merge.
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.select("*", blocks).repartition(tasks, "block", "chunk")
-    drawn = spread.groupBy("block", "chunk").applyInPandas(_draw_group(cfg), _DRAWN)
+    drawn = spread.groupBy("block", "chunk").applyInPandas(_block_draws(cfg), _DRAWN)
     multipliers = ("auto_effect_multiplier", "engagement_effect_multiplier", "upsell_risk_multiplier", "upsell_amount_multiplier")
     total = F.greatest(F.sum("users"), F.lit(1))
     base, price, after, cost = (F.sum(c) for c in ("baseline_revenue", "price_only_revenue", "scenario_revenue", "campaign_cost"))

@@ -68,16 +68,19 @@ def guarded_rebuild(
     """Write the rows of one source and month range, only over existing ones when forced.
 
     Rows of other sources and months stay. Months of the range that the new rows no
-    longer have are removed as well.
+    longer have are removed as well. New rows of another source or outside [start, end)
+    are not written: they would replace partitions that this rebuild isn't about.
     """
-    if not path_exists(spark, path):
-        write_parquet(rows, path, ("source", "snapshot_month"))
-        return "written"
-    stored = spark.read.parquet(path).where(
+    wanted = (
         (F.col("source") == source)
         & (F.col("snapshot_month") >= F.lit(start).cast("date"))
         & (F.col("snapshot_month") < F.lit(end).cast("date"))
     )
+    rows = rows.where(wanted)
+    if not path_exists(spark, path):
+        write_parquet(rows, path, ("source", "snapshot_month"))
+        return "written"
+    stored = spark.read.parquet(path).where(wanted)
     months = {str(r[0]) for r in stored.select("snapshot_month").distinct().collect()}  # one value per month
     if months and not force:
         return "skipped"
