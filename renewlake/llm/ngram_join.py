@@ -73,13 +73,28 @@ class Rarity:
         return np.round(np.maximum(share[ends] - share[places] + self.total, seen), 1)
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """The set as bits, about one to two for each token: bit (token modulo width) says that some token falls there."""
+    width = 1 << max(6, int(len(tokens) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
 def _signatures(size: int, percent: int, counts):
-    """Set size, set hash and prefix of each document: its rarest tokens, one of which any partner shares."""
+    """Set size, set hash, bitmap and prefix of each document: its rarest tokens, one of which any partner shares."""
 
     def run(batches):
         hashes, order = WordHashes(), Rarity(counts.value, size)
         for batch in batches:
-            ns, ones, twos, prefixes = [], [], [], []
+            ns, ones, twos, maps, prefixes = [], [], [], [], []
             for words, tokens, places in _sets(size, hashes, batch.column(2).to_pylist()):
                 n = len(tokens)
                 ns.append(n)
@@ -87,13 +102,14 @@ def _signatures(size: int, percent: int, counts):
                 one, two = (r.of(np.array([0]), np.array([n])).view(np.int64)[0] for r in both)
                 ones.append(one)
                 twos.append(two)
+                maps.append(_bitmap(tokens))
                 least = -(-percent * n // 100)  # tokens a partner must share at least
                 rare = np.lexsort((tokens, order.of(words, tokens, places)))[: n - least + 1] if n else []
                 prefixes.append(tokens[rare].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ns, pa.int32()), pa.array(ones, pa.int64()),
-                 pa.array(twos, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "n", "s1", "s2", "prefix"])
+                 pa.array(twos, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "s1", "s2", "bits", "prefix"])
 
     return run
 
@@ -160,6 +176,38 @@ def _enough(percent: int, least: Column, most: Column) -> Column:
     return (low <= high) & (c >= F.least(floor_of(low), floor_of(high)))
 
 
+def _unions(block: pd.DataFrame) -> pd.DataFrame:
+    """The bitmap of a block's token union, as wide as its narrowest member's."""
+    maps = [np.frombuffer(b, np.uint8) for b in block["union"]]
+    size = min(map(len, maps))
+    union = np.bitwise_or.reduce([_folded(m, size) for m in maps])
+    return block.iloc[:1].assign(union=[union.tobytes()])
+
+
+def _may_link(percent: int):
+    """Rows (rep, n, grp, blk, bits, union, least_n, single) whose bitmaps allow a link.
+
+    A query's bit that the union lacks is a token that no member has, so those bits bound the
+    overlap from above; with a single member the same holds the other way round.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, bits, union, least, single in zip(*(batch.column(c).to_pylist() for c in (1, 4, 5, 6, 7))):
+                mine, theirs = np.frombuffer(bits, np.uint8), np.frombuffer(union, np.uint8)
+                size = min(len(mine), len(theirs))
+                mine, theirs = _folded(mine, size), _folded(theirs, size)
+                most = n - int(np.bitwise_count(mine & ~theirs).sum())
+                if single:
+                    most = min(most, least - int(np.bitwise_count(theirs & ~mine).sum()))
+                keep.append(100 * most >= percent * (n + max(least, most) - most))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(4)], names=["rep", "n", "grp", "blk"])
+
+    return run
+
+
 def _links(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between queries asked(rep, n, grp, blk) and members(rep, grp, blk), blocks of both bounded."""
     load = asked.groupBy("grp", "blk").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
@@ -187,8 +235,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     that is shuffled of most documents. Similar documents first form groups: each asks the
     document that most of its prefix tokens name and joins its group if they link. The
     token-group matrix holds each group's union of prefix tokens; a document asks a group it
-    is not part of only if it shares as many of them as the sizes demand (`_enough`), and opens
-    it only if its overlap with the group's whole token union reaches the bound. Groups are cut into
+    is not part of only if it shares as many of them as the sizes demand (`_enough`) and if a
+    bitmap of the group's whole token union leaves room for a link (`_may_link`), and opens
+    it only if its overlap with that union itself reaches the bound. Groups are cut into
     blocks of bounded size. As a group is connected, the first link into a block will do:
     a group of copies costs a few rows per document, never its pairs.
 
@@ -204,7 +253,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     counts = spark.sparkContext.broadcast(bucket_counts(rows, size))
     signed = stored(rows.mapInArrow(
         _signatures(size, percent, counts),
-        "doc_id long, text_hash long, n int, s1 long, s2 long, prefix array<long>"), "signatures")
+        "doc_id long, text_hash long, n int, s1 long, s2 long, bits binary, prefix array<long>"), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
 
     # One representative for each set. rep is the smallest document that has it.
@@ -214,21 +263,27 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
         F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).where("a != b").distinct()
     firsts = least.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     reps = known.join(firsts, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    reps = reps.select(F.xxhash64("doc_id", "text_hash").alias("rep"), "doc_id", "text_hash", "n", "prefix")
+    reps = reps.select(F.xxhash64("doc_id", "text_hash").alias("rep"), "doc_id", "text_hash", "n", "bits", "prefix")
 
     # Tokens that two or more representatives share.
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     live = stored(tokens.join(often, "token"), "shared-tokens")
-    names = stored(reps.select("rep", "doc_id", "text_hash"), "representatives")
+    names = stored(reps.select("rep", "doc_id", "text_hash", "bits"), "representatives")
+    maps = names.select("rep", "bits")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        which = stored(wanted.distinct().join(names, "rep"), "wanted")
+        which = stored(wanted.distinct().join(names.drop("bits"), "rep"), "wanted")
         if which.count() <= BROADCAST_DOCS:  # beyond, both sides are shuffled
             which = F.broadcast(which)
         texts = rows.join(which, ["doc_id", "text_hash"]).select("rep", "text")
         return stored(texts.mapInArrow(_full_sets(size), "rep long, tokens binary"), "sets")
 
+    def allowed(asked: DataFrame, unions: DataFrame, name: str) -> DataFrame:
+        rows = asked.join(maps, "rep").join(unions, ["grp", "blk"]).select(
+            "rep", "n", "grp", "blk", "bits", "union", "least_n", "single")
+        return stored(rows.mapInArrow(_may_link(percent), "rep long, n int, grp long, blk int"), name)
+
     # Groups: each document asks the leader that most of its tokens name, if the bound lets them link.
     # The original of a group of copies has the tokens of all of them and few of its own.
     typical = live.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("typical"))
@@ -238,7 +293,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
              .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
              .where(_enough(percent, F.col("leader.n"), F.col("leader.n"))))
     chosen = stored(named.groupBy("rep", "n").agg(F.max(F.struct("c", "leader")).alias("best")).select(
-        "rep", "n", F.col("best.leader.rep").alias("grp"), F.lit(0).alias("blk")), "leaders")
+        "rep", "n", F.col("best.leader.rep").alias("grp"), F.lit(0).alias("blk"),
+        F.col("best.leader.n").alias("least_n"), F.lit(True).alias("single")), "leaders")
+    chosen = allowed(
+        chosen, chosen.select("grp", "blk").distinct().join(maps.toDF("grp", "union"), "grp"), "likely-leaders")
     alone = chosen.select("grp").distinct().select(F.col("grp").alias("rep"), "grp", F.lit(0).alias("blk"))
     stars = stored(_links(
         chosen, alone, sets_of(chosen.select("rep").unionAll(alone.select("rep"))), percent), "star-links")
@@ -254,7 +312,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     live = live.drop("df").join(placed.select("rep", "grp", "blk"), "rep")
     spread = live.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
     live = stored(live.join(spread.select("token"), "token", "left_semi"), "open-tokens")
-    sizes = placed.groupBy("grp", "blk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    sizes = placed.groupBy("grp", "blk").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), (F.count(F.lit(1)) == 1).alias("single"))
     band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
     # A pair's sizes differ by at most the ratio of two neighbouring bands.
     matrix = live.select("token", "grp", "blk", band.alias("band")).distinct()
@@ -263,8 +322,15 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
              .join(matrix, ["token", "band"]).where("own < grp")
              .groupBy("rep", "n", "grp", "blk").agg(F.count_distinct("token").alias("c"))
              .join(sizes, ["grp", "blk"])
-             .where(_enough(percent, F.col("least_n"), F.col("most_n"))).select("rep", "n", "grp", "blk"))
+             .where(_enough(percent, F.col("least_n"), F.col("most_n")))
+             .select("rep", "n", "grp", "blk", "least_n", "single"))
     asked = stored(asked, "asked")
+    rows_of = (asked.select("grp", "blk", "single").distinct().join(placed.select("rep", "grp", "blk"), ["grp", "blk"])
+               .join(maps, "rep").select("grp", "blk", F.col("bits").alias("union"), "single"))
+    many = rows_of.where("not single").groupBy("grp", "blk").applyInPandas(
+        _unions, "grp long, blk int, union binary, single boolean")
+    unions = rows_of.where("single").unionByName(many).drop("single")
+    asked = allowed(asked, unions, "likely-asked")
     opened = placed.select("rep", "grp", "blk").join(asked.select("grp", "blk").distinct(), ["grp", "blk"])
     links = stored(_links(
         asked, opened, sets_of(asked.select("rep").unionAll(opened.select("rep"))), percent), "group-links")
