@@ -12,6 +12,7 @@ from renewlake.llm.components import connected_components
 from renewlake.llm.words import RunHashes, WordHashes
 
 SKETCH_BITS = 18  # hash buckets of the word and token counts, which only order the tokens
+SKETCH_ROW = 16  # buckets that share a row while they are summed
 BLOCK_TOKENS = 500_000  # tokens that one block of a group, or of its queries, may hold
 BROADCAST_DOCS = 100_000
 
@@ -41,14 +42,17 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
             found = [(w, t) for w, t, _ in _sets(size, hashes, batch.column(0).to_pylist())]
             for kind in range(2 if found else 0):
                 counts[kind] += np.bincount(_bucket(np.concatenate([f[kind] for f in found])), minlength=counts.shape[1])
-        at = np.flatnonzero(counts)
+        rows = counts.reshape(-1, SKETCH_ROW)
+        at = np.flatnonzero(rows.any(axis=1))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts.ravel()[at])], names=["bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), *(pa.array(c) for c in rows[at].T)], names=["row", *columns])
 
-    sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()
-    counts = np.zeros(2 << SKETCH_BITS, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    columns = [f"c{i}" for i in range(SKETCH_ROW)]
+    parts = docs.select("text").mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns))
+    found = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    counts = np.zeros(((2 << SKETCH_BITS) // SKETCH_ROW, SKETCH_ROW), np.int64)
+    counts[found["row"].to_numpy()] = found[columns].to_numpy()
     return counts.reshape(2, -1)
 
 
@@ -265,9 +269,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     reps = known.join(firsts, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     reps = reps.select(F.xxhash64("doc_id", "text_hash").alias("rep"), "doc_id", "text_hash", "n", "bits", "prefix")
 
-    # Tokens that two or more representatives share.
+    # Tokens that two or more representatives share. Counting n, both sides read one exchange.
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = tokens.groupBy("token").agg(F.count("n").alias("df")).where("df > 1")
     live = stored(tokens.join(often, "token"), "shared-tokens")
     names = stored(reps.select("rep", "doc_id", "text_hash", "bits"), "representatives")
     maps = names.select("rep", "bits")
