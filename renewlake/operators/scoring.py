@@ -6,46 +6,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from renewlake.functions.buckets import first_match
 from renewlake.functions.cols import clip, filled
-from renewlake.params import ScoreParams
+from renewlake.params import ScoreModel
 
-DRIVERS = ("Manual Renewal", "Low Activity", "High Skip Ratio", "Low Discovery", "Cancel Signal")
 DECAY_SEGMENTS = (("standard_4.5_8", "Standard"), ("deal_<4.5", "Deal Hunter"), ("premium_>=8", "Premium"))
 MONTH = "snapshot_month"
 
 
-def churn_probability(p: ScoreParams, manual, low_activity, high_skip, low_discovery, cancel) -> Column:
-    total = (
-        F.lit(p.base_prob)
-        + p.weight_manual * manual
-        + p.weight_low_activity * low_activity
-        + p.weight_high_skip * high_skip
-        + p.weight_low_discovery * low_discovery
-        + p.weight_cancel_signal * cancel
-    )
-    return clip(total, p.prob_min, p.prob_max)
+def flags_of(model: ScoreModel) -> dict[str, Column]:
+    return {s.column: F.col(s.column) for s in model.signals}
 
 
-def hazard(p: ScoreParams, probability, high_skip, low_activity) -> Column:
-    return F.greatest(
-        p.hazard_base
-        + p.hazard_churn_weight * probability
-        + p.hazard_skip_weight * high_skip
-        + p.hazard_low_activity_weight * low_activity,
-        F.lit(0.1),
-    )
+def churn_probability(model: ScoreModel, flags: dict[str, Column]) -> Column:
+    total = F.lit(model.without_signals)
+    for s in model.signals:
+        total = total + s.weight * flags[s.column]
+    return clip(total, model.least, model.most)
+
+
+def hazard(model: ScoreModel, probability: Column, flags: dict[str, Column]) -> Column:
+    total = model.hazard_of_nobody + model.hazard_of_churner * probability
+    for s in sorted(model.signals, key=lambda s: -s.hazard):
+        if s.hazard:
+            total = total + s.hazard * flags[s.column]
+    return F.greatest(total, F.lit(0.1))
 
 
 def _one(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def primary_driver(p: ScoreParams) -> Column:
+def primary_driver(model: ScoreModel) -> Column:
     """Largest weighted signal, the first one on a tie."""
-    flags = ("manual_flag", "low_activity_flag", "high_skip_flag", "low_discovery_flag", "cancel_signal_flag")
-    weights = (p.weight_manual, p.weight_low_activity, p.weight_high_skip, p.weight_low_discovery, p.weight_cancel_signal)
-    scores = [w * F.col(f) for w, f in zip(weights, flags)]
-    best = F.greatest(*scores)
-    return first_match([(s == best, name) for s, name in zip(scores[:-1], DRIVERS)], DRIVERS[-1])
+    scores = [(s.weight * F.col(s.column), s.driver) for s in model.signals]
+    best = F.greatest(*[score for score, _ in scores])
+    return first_match([(score == best, name) for score, name in scores[:-1]], scores[-1][1])
 
 
 def strategic_segment() -> Column:
@@ -54,7 +48,7 @@ def strategic_segment() -> Column:
     return F.concat_ws(" / ", "price_segment", "payment_mode", listener)
 
 
-def score_members(cohort: DataFrame, p: ScoreParams = ScoreParams()) -> DataFrame:
+def score_members(cohort: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
     inputs = cohort.select(
         MONTH,
         "msno",
@@ -76,19 +70,16 @@ def score_members(cohort: DataFrame, p: ScoreParams = ScoreParams()) -> DataFram
         "daily_price_est": F.greatest(F.col("avg_paid") / F.col("_plan_days"), F.lit(0.0)),
         "payment_mode": F.when(F.col("manual_flag") == 0, "Auto-Renew").otherwise("Manual Renewal"),
     })
-    scored = flagged.withColumn(
-        "churn_probability",
-        churn_probability(p, F.col("manual_flag"), F.col("low_activity_flag"), F.col("high_skip_flag"),
-                          F.col("low_discovery_flag"), F.col("cancel_signal_flag")),
-    )
+    flags = flags_of(model)
+    scored = flagged.withColumn("churn_probability", churn_probability(model, flags))
     prob = F.col("churn_probability")
-    months = p.cltv_base_months + (1.0 - prob) * p.cltv_retention_months
+    months = model.sure_months + (1.0 - prob) * model.loyal_months
     return scored.withColumns({
         "predicted_future_cltv": F.greatest(
-            F.col("avg_paid") * months * (1.0 + F.col("txn_count") * p.cltv_txn_gain), F.lit(0.0)),
-        "revenue_at_risk": F.greatest(prob * F.col("avg_paid") * p.risk_horizon_months, F.lit(0.0)),
-        "hazard_ratio_proxy": hazard(p, prob, F.col("high_skip_flag"), F.col("low_activity_flag")),
-        "primary_risk_driver": primary_driver(p),
+            F.col("avg_paid") * months * (1.0 + F.col("txn_count") * model.value_per_payment), F.lit(0.0)),
+        "revenue_at_risk": F.greatest(prob * F.col("avg_paid") * model.months_at_risk, F.lit(0.0)),
+        "hazard_ratio_proxy": hazard(model, prob, flags),
+        "primary_risk_driver": primary_driver(model),
         "strategic_segment": strategic_segment(),
     }).drop("_plan_days")
 
@@ -183,7 +174,7 @@ def month_over_month(kpis: DataFrame) -> DataFrame:
 
 # --- what-if on the rule-based score ------------------------------------------------
 
-def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, p: ScoreParams = ScoreParams()) -> DataFrame:
+def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, model: ScoreModel = ScoreModel()) -> DataFrame:
     """Per member: probability and hazard after moving the three levers (percent, 0..100)."""
     def share(value) -> Column:
         c = value if isinstance(value, Column) else F.lit(float(value))
@@ -195,15 +186,14 @@ def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, p: ScorePara
         "_high_skip": _one(skip_after > 0.5),
         "_upsell": share(upsell_pct),
     })
-    shifted = shifted.withColumn("scenario_probability", churn_probability(
-        p, F.col("_manual"), F.col("low_activity_flag"), F.col("_high_skip"), F.col("low_discovery_flag"),
-        F.col("cancel_signal_flag")))
+    flags = {**flags_of(model), "manual_flag": F.col("_manual"), "high_skip_flag": F.col("_high_skip")}
+    shifted = shifted.withColumn("scenario_probability", churn_probability(model, flags))
     price = F.col("daily_price_est")
     return shifted.withColumns({
-        "scenario_hazard": hazard(p, F.col("scenario_probability"), F.col("_high_skip"), F.col("low_activity_flag")),
+        "scenario_hazard": hazard(model, F.col("scenario_probability"), flags),
         "_baseline": price * 30.0,
         "_saved": F.greatest(F.col("churn_probability") - F.col("scenario_probability"), F.lit(0.0))
-        * price * p.risk_horizon_months * 30.0,
+        * price * model.months_at_risk * 30.0,
         "_gain": F.col("_upsell") * F.col("deal_flag") * price * 30.0 * 0.8,
     })
 

@@ -58,7 +58,7 @@ def top_by_risk(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 def series_delta(series: DataFrame, columns: list[str]) -> DataFrame:
     """Each day's value and its change from the day before (first day: from zero)."""
-    order = Window.orderBy("event_date")  # one row per day of a month
+    order = Window.orderBy("event_date")  # one row per day
     return series.select("event_date", *columns, *[
         (F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0))).alias(f"{c}_delta") for c in columns])
 

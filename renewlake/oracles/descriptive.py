@@ -125,7 +125,9 @@ oracle("chart_context_month", f"""SELECT target_month, value_tier, risk_segment,
   WHERE target_month = (SELECT max(target_month) FROM s_trend WHERE target_month <= 202402)""")
 oracle("segment_mix_payload", f"""SELECT target_month, segment_type, segment_value, count(*) AS users, round(coalesce(avg(churn_rate) FILTER (churn_rate >= 0) * 100, 0.0), 4) AS churn_rate_pct,
   round(100 - coalesce(avg(churn_rate) FILTER (churn_rate >= 0) * 100, 0.0), 4) AS retain_rate_pct FROM ({unpivot('s_features', 'target_month, churn_rate')}) GROUP BY 1, 2, 3""")
-oracle("previous_month_kpis", f"""SELECT k.target_month, x.previous_month, {KPI_OUT} FROM (SELECT target_month FROM s_fkpis WHERE target_month <> 202309) k LEFT JOIN (
+oracle("previous_month_kpis", f"""SELECT k.target_month, x.target_month AS previous_month, {KPI_OUT}, 'all months' AS given FROM (SELECT target_month FROM s_fkpis) k
+  LEFT JOIN s_fkpis x ON x.target_month = {prev_month('k.target_month')}
+  UNION ALL SELECT k.target_month, x.previous_month, {KPI_OUT}, 'one missing' AS given FROM (SELECT target_month FROM s_fkpis WHERE target_month <> 202309) k LEFT JOIN (
   SELECT target_month AS previous_month, total_expiring_users, historical_churn_rate, overall_median_survival, auto_renew_rate, total_expected_renewal_amount, historical_revenue_at_risk
     FROM s_fkpis WHERE target_month <> 202309
   UNION ALL SELECT target_month, total_expiring_users, historical_churn_rate, overall_median_survival, auto_renew_rate, total_expected_renewal_amount, historical_revenue_at_risk
@@ -133,7 +135,8 @@ oracle("previous_month_kpis", f"""SELECT k.target_month, x.previous_month, {KPI_
 oracle("km_lookup", """SELECT dimension_value, CAST(count(*) AS INTEGER) AS n, string_agg(day || ':' || at_risk || ':' || events, ',' ORDER BY day, survival_prob, at_risk, events) AS points
   FROM s_km1 WHERE target_month = 202402 AND dimension = 'age_segment' GROUP BY dimension_value""")
 oracle("snapshot_metrics", """SELECT target_month, total_expiring_users, round(CASE WHEN target_month = 202309 THEN (SELECT avg(churn_rate) * 100 FROM s_features f WHERE f.target_month = 202309 AND churn_rate >= 0)
-  ELSE historical_churn_rate * 100 END, 4) AS historical_churn_rate, median_survival_days_proxy AS median_survival_days, round(auto_renew_rate * 100, 4) AS auto_renew_rate FROM s_kpis""")
+  ELSE historical_churn_rate * 100 END, 4) AS historical_churn_rate, median_survival_days_proxy AS median_survival_days, round(auto_renew_rate * 100, 4) AS auto_renew_rate, 'one missing' AS given FROM s_kpis
+  UNION ALL SELECT target_month, total_expiring_users, round(historical_churn_rate * 100, 4), median_survival_days_proxy, round(auto_renew_rate * 100, 4), 'all months' FROM s_kpis""")
 oracle("available_months", f"""SELECT {label('target_month')} AS month, 'all' AS mode FROM (SELECT DISTINCT target_month FROM s_features WHERE target_month >= 202401)
   UNION ALL SELECT month, 'any' FROM (SELECT {label('target_month')} AS month FROM s_features UNION SELECT strftime(snapshot_month, '%Y-%m') FROM s_snap)""")
 oracle("filter_enumeration", f"""SELECT DISTINCT segment_type, segment_value FROM ({unpivot('s_features', '1 AS x')}) UNION ALL SELECT NULL, NULL""")
@@ -167,14 +170,14 @@ oracle("pulse_overlay", f"SELECT {DAILY_OUT} FROM s_pulse")
 # views ---------------------------------------------------------------------------------------
 oracle("pulse_merge", """SELECT event_date, round(coalesce(total_revenue, 0.0), 4) AS total_revenue, coalesce(total_transactions, 0) AS total_transactions, coalesce(high_risk_users, 0) AS high_risk_users,
   round(coalesce(avg_risk_score, 0.0), 4) AS avg_risk_score, coalesce(active_users, 0) AS active_users, round(coalesce(total_listening_secs, 0.0), 4) AS total_listening_secs
-  FROM (SELECT * FROM s_kpi_rev WHERE day(event_date) > 3) FULL OUTER JOIN s_kpi_risk USING (event_date) FULL OUTER JOIN s_kpi_act USING (event_date)""")
+  FROM s_kpi_rev FULL OUTER JOIN s_kpi_risk USING (event_date) FULL OUTER JOIN s_kpi_act USING (event_date)""")
 oracle("km_pivot", """SELECT target_month, day, round(min(survival_prob * 100) FILTER (dimension_value = 'Male'), 4) AS "Male", round(min(survival_prob * 100) FILTER (dimension_value = 'Female'), 4) AS "Female",
   round(min(survival_prob * 100) FILTER (dimension_value = 'Unknown'), 4) AS "Unknown" FROM s_km1 WHERE dimension = 'gender_profile' GROUP BY 1, 2""")
 oracle("decay_pivot", """SELECT snapshot_month, CAST(m AS INTEGER) AS month_num, 'T+' || m AS timeline, """ + ", ".join(
     f"""round(pow(least(greatest(1 - (avg(churn_probability) FILTER (price_segment = '{k}')) * 0.85, 0.05), 0.99), m) * 100, 4) AS "{n}\""""
     for k, n in (("standard_4.5_8", "Standard"), ("deal_<4.5", "Deal Hunter"), ("premium_>=8", "Premium"))) + " FROM s_scored, range(1, 13) t(m) GROUP BY snapshot_month, m")
 oracle("series_delta", """SELECT event_date, round(total_revenue, 4) AS total_revenue, total_transactions, round(total_revenue - coalesce(lag(total_revenue) OVER (ORDER BY event_date), 0.0), 4) AS total_revenue_delta,
-  total_transactions - coalesce(lag(total_transactions) OVER (ORDER BY event_date), 0) AS total_transactions_delta FROM s_kpi_rev WHERE event_date >= DATE '2023-06-01' AND event_date < DATE '2023-07-01'""")
+  total_transactions - coalesce(lag(total_transactions) OVER (ORDER BY event_date), 0) AS total_transactions_delta FROM s_kpi_rev""")
 cte("s_mix", f"""SELECT target_month, segment_type || ': ' || segment_value AS l, count(*) AS users, coalesce(avg(churn_rate) FILTER (churn_rate >= 0) * 100, 0.0) AS rate
   FROM ({unpivot('s_features', 'target_month, churn_rate')}) GROUP BY 1, 2""")
 oracle("descriptive_highlights", """SELECT target_month, first(l ORDER BY rate DESC, l DESC) AS hottest_segment, round(max(rate), 4) AS hottest_churn_rate_pct,

@@ -44,7 +44,7 @@ oracle("members_dedup", """SELECT msno, CAST(city + 1 AS INTEGER) AS city, bd, g
   WHERE msno IN (SELECT msno FROM d_tx)""")
 oracle("survival_days", """SELECT msno, snapshot_month, CAST(greatest(coalesce(date_diff('day', registration_init_time, last_expire_date),
   date_diff('day', first_tx_date, last_expire_date)), 0) AS INTEGER) AS survival_days
-  FROM s_tx_last LEFT JOIN (SELECT msno, registration_init_time FROM d_members WHERE registered_via <> 3) USING (msno)""")
+  FROM s_tx_last LEFT JOIN (SELECT msno, CASE WHEN registered_via <> 3 THEN registration_init_time END AS registration_init_time FROM d_members) USING (msno)""")
 oracle("behavior_ratios", """SELECT msno, snapshot_month, round(skip_ratio, 6) AS skip_ratio, round(discovery_ratio, 6) AS discovery_ratio,
   round(avg_daily_secs, 4) AS avg_daily_secs FROM s_snap_all""")
 oracle("bucket_age", """SELECT bd, CASE WHEN bd BETWEEN 10 AND 20 THEN '15_20' WHEN bd BETWEEN 21 AND 30 THEN '21_30'

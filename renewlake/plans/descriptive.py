@@ -173,11 +173,17 @@ def _(spark, sf):
     return D.segment_mix_payload(features(spark, sf))
 
 
+def _whole_and_gap(kpis, run):
+    """The result for all months, and for a table that lacks one of them."""
+    return run(kpis).withColumn("given", F.lit("all months")).unionByName(
+        run(kpis.where("target_month <> 202309")).withColumn("given", F.lit("one missing")))
+
+
 @query("previous_month_kpis")
 def _(spark, sf):
-    # One month's snapshot is missing: its successor takes the trend point.
-    own = D.frame_kpis(tab1(spark, sf)).where("target_month <> 202309")
-    return D.previous_month_kpis(own, trend(spark, sf))
+    # All months, and again with one month's snapshot missing: its successor takes the trend point.
+    own, points = D.frame_kpis(tab1(spark, sf)), trend(spark, sf)
+    return _whole_and_gap(own, lambda kpis: D.previous_month_kpis(kpis, points))
 
 
 @query("km_lookup")
@@ -190,7 +196,8 @@ def _(spark, sf):
 
 @query("snapshot_metrics")
 def _(spark, sf):
-    return D.snapshot_metrics(_kpis(spark, sf).where("target_month <> 202309"), tab1(spark, sf))
+    frame = tab1(spark, sf)
+    return _whole_and_gap(_kpis(spark, sf), lambda kpis: D.snapshot_metrics(kpis, frame))
 
 
 @stage("pulse")
@@ -264,8 +271,8 @@ def _(spark, sf):
 @query("pulse_merge")
 def _(spark, sf):
     return W.merge_series(
-        Q.revenue_series(tb.kpi_revenue(spark, sf)).where("dayofmonth(event_date) > 3"),
-        Q.risk_series(tb.kpi_churn_risk(spark, sf)), Q.activity_series(tb.kpi_activity(spark, sf)))
+        Q.revenue_series(tb.kpi_revenue(spark, sf)), Q.risk_series(tb.kpi_churn_risk(spark, sf)),
+        Q.activity_series(tb.kpi_activity(spark, sf)))
 
 
 @query("km_pivot")
@@ -281,8 +288,7 @@ def _(spark, sf):
 
 @query("series_delta")
 def _(spark, sf):
-    june = Q.of_month(Q.revenue_series(tb.kpi_revenue(spark, sf)), "2023-06-01", "2023-07-01")
-    return W.series_delta(june, ["total_revenue", "total_transactions"])
+    return W.series_delta(Q.revenue_series(tb.kpi_revenue(spark, sf)), ["total_revenue", "total_transactions"])
 
 
 @query("descriptive_highlights")

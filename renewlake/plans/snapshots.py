@@ -44,8 +44,9 @@ def _(spark, sf):
 @query("survival_days")
 def _(spark, sf):
     tx = M.tx_last(fx.transactions(spark, sf))
-    # Members of one channel are left out, so the fallback to the first payment applies.
-    people = fx.members(spark, sf).where("registered_via <> 3").select("msno", "registration_init_time")
+    # Members of one channel have no registration date, so the fallback to the first payment applies.
+    known = F.when(F.col("registered_via") != 3, F.col("registration_init_time"))
+    people = fx.members(spark, sf).select("msno", known.alias("registration_init_time"))
     days = M.survival_days(F.col("registration_init_time"), F.col("first_tx_date"), F.col("last_expire_date"))
     return tx.join(people, "msno", "left").select("msno", "snapshot_month", days.alias("survival_days"))
 
