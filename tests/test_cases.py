@@ -181,3 +181,11 @@ def test_guarded_rebuild_and_missing_sources(spark):
 def test_series_delta(spark):
     df = spark.createDataFrame([(d("2017-03-01"), 5), (d("2017-03-02"), 8)], "event_date date, n int")
     assert [r["n_delta"] for r in W.series_delta(df, ["n"]).orderBy("event_date").collect()] == [5, 3]
+
+
+def test_merge_series_fills_missing_days(spark):
+    revenue = spark.createDataFrame([("2024-01-02", 5.0)], "event_date string, total_revenue double")
+    risk = spark.createDataFrame([("2024-01-01", 3)], "event_date string, high_risk_users long")
+    activity = spark.createDataFrame([("2024-01-02", 7)], "event_date string, active_users long")
+    rows = W.merge_series(revenue, risk, activity).orderBy("event_date").collect()
+    assert [tuple(r) for r in rows] == [("2024-01-01", 0.0, 3, 0), ("2024-01-02", 5.0, 0, 7)]
