@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from renewlake.llm.common import prepared, stored, texts_of
 from renewlake.llm.components import connected_components
@@ -290,8 +290,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
 
     # Groups: each document asks the leader that most of its tokens name, if the bound lets them link.
     # The original of a group of copies has the tokens of all of them and few of its own.
-    typical = live.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("typical"))
-    leaders = live.join(typical, "rep").groupBy("token").agg(
+    typical = F.sum("df").over(Window.partitionBy("rep")) / F.col("n")  # at most one prefix to a window
+    leaders = live.withColumn("typical", typical).groupBy("token").agg(
         F.max(F.struct("typical", "rep", "n")).alias("leader"))
     named = (live.join(leaders, "token").where("rep != leader.rep")
              .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
