@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from renewlake.llm.common import prepared
 
-MAX_RATE = 500.0
+PIECE_RATE = 500.0  # exp(-rate) is still a normal number
 BROADCAST_SOURCES = 100_000
 
 
@@ -66,26 +66,30 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
     With `payload`, `doc` holds the document's whole row.
 
     Defined cases: null sources form a source of their own; a null id is drawn as the text
-    'null'; rows that repeat an id draw the same number; a rate above 500 is refused; null
-    or empty texts and further columns don't matter; an empty table gives an empty table.
+    'null'; rows that repeat an id draw the same number; a rate above 500 is drawn as the sum
+    of equal pieces of at most 500, each with a uniform number of its own; null or empty texts
+    and further columns don't matter; an empty table gives an empty table.
     """
     prepared(docs.sparkSession)
     rates = source_rates(docs, source_col, weights, temperature, epochs)
-    over = rates.agg(F.max("rate").alias("r"), F.count(F.lit(1)).alias("n")).first()
-    if over["r"] is not None and over["r"] > MAX_RATE:
-        raise ValueError(f"a source would be repeated {over['r']:.0f} times on average; at most {MAX_RATE:.0f} is drawn")
-    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"),
-                         poisson_cdf(F.col("rate")).alias("_cdf"))
-    if over["n"] <= BROADCAST_SOURCES:
+    pieces = F.greatest(F.ceil(F.col("rate") / PIECE_RATE).cast("int"), F.lit(1))
+    rates = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), pieces.alias("_pieces"),
+                         poisson_cdf(F.col("rate") / pieces).alias("_cdf"))
+    if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), name.alias("_name"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if payload else []))
+    own = hashed_unit(F.lit(str(seed)), F.col("_name"))
+    further = F.transform(
+        F.sequence(F.lit(2), F.col("_pieces")),
+        lambda i: hashed_unit(F.lit(str(seed)), F.col("_name"), F.lit("piece"), i.cast("string")))
     drawn = rows.join(rates, F.col("_of").eqNullSafe(F.col("_source"))).withColumn(
-        "_u", hashed_unit(F.lit(str(seed)), F.col("_name")))
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    counted = drawn.withColumn("_n", copies).where("_n > 0").drop("_cdf", "_u", "_source")
+        "_u", F.when(F.col("_pieces") > 1, F.concat(F.array(own), further)).otherwise(F.array(own)))
+    copies = F.aggregate(
+        "_u", F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
+    counted = drawn.withColumn("_n", copies).where("_n > 0").drop("_cdf", "_u", "_source", "_pieces")
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return each.select(
         F.col("_id").alias("doc_id"), F.col("_of").alias("source"), F.col("_rate").alias("rate"),
