@@ -169,6 +169,8 @@ def _enough(percent: int, least: Column, most: Column) -> Column:
     Of two sets, take the one whose prefix ends first in the order: its prefix tokens that the
     other lacks in its own prefix it lacks altogether, so the overlap is at most the set's size
     less those. The overlap that a link needs bounds c from below; a link also bounds the sizes.
+    Up to n tokens the bound rises with the other set's size. Beyond, it falls on average by
+    `fall` a token, but ceilings lift it by up to one: the least lies within 1 / fall of the end.
     """
     n, c = F.col("n"), F.col("c")
 
@@ -177,7 +179,9 @@ def _enough(percent: int, least: Column, most: Column) -> Column:
         return need - F.ceil(F.greatest(n, other) * percent / 100 - 1e-9) + 1
 
     low, high = F.greatest(least, F.ceil(n * percent / 100 - 1e-9)), F.least(most, F.floor(n * 100 / percent + 1e-9))
-    return (low <= high) & (c >= F.least(floor_of(low), floor_of(high)))
+    fall = percent / 100 - percent / (100 + percent)
+    ends = [floor_of(F.greatest(low, high - back)) for back in range(int(1 / fall) + 1)]
+    return (low <= high) & (c >= F.least(floor_of(low), *ends))
 
 
 def _unions(block: pd.DataFrame) -> pd.DataFrame:
