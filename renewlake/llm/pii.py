@@ -18,7 +18,7 @@ PLAIN_ROUNDS = 12  # after so many collisions a surrogate may grow by a sign
 # Types in order of precedence where matches overlap; a group named v is the part to replace (fixed patterns).
 PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"),
-    ("secret", r"(?i:password|passwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9_\-+/]{8,200})"),
+    ("secret", r"(?i:password|passwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9_\-+/][A-Za-z0-9_\-+/=.~]{6,}[A-Za-z0-9_\-+/=~])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}(?P<v>\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     ("card", r"(?<![\w.+\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
@@ -46,6 +46,8 @@ ENDS = {"latin": {"m": "on", "f": "ia", "x": "el"}, "cyrillic": {"m": "он", "f
 
 
 DIGIT = re.compile(r"\d")
+WORD = re.compile(r"\w+")
+DRAWS = 512  # signs that are drawn from one number: dividing a longer one takes the square of its length
 
 
 def _compiled():
@@ -92,6 +94,16 @@ def find_entities(text: str, patterns) -> list[tuple[int, int, str, str]]:
         for i, name in enumerate(names):  # a first name has the title's gender, the last name none
             kind = f"name_{GENDER[m['t'].lower()]}" if i < len(names) - 1 else "name_x"
             add(m.start("v") + name.start(), m.start("v") + name.end(), kind)
+    # Other mentions of a name that a title told, as written there or in capitals.
+    known: dict[str, str] = {}
+    for a, b, kind, _ in taken:
+        if kind.startswith("name_") and text[a:b].lower() not in GENDER:
+            known.setdefault(text[a:b], kind)
+            known.setdefault(text[a:b].upper(), kind)
+    if known:
+        for m in WORD.finditer(text):
+            if m[0] in known:
+                add(*m.span(), known[m[0]])
     return taken
 
 
@@ -109,10 +121,14 @@ def _may(kind: str, text: str) -> bool:
 def surrogate(key: bytes, kind: str, entity: str, tries: int) -> str:
     """A keyed stand-in of the same type and format: signs of the same class in the same places."""
     seed = hmac.new(key, f"{kind}\0{entity}\0{tries}".encode(), hashlib.sha256).digest()
-    drawn = int.from_bytes(hashlib.shake_256(seed).digest(len(entity) * 2 + 32), "big")
+    drawn = int.from_bytes(hashlib.shake_256(seed).digest(min(len(entity), DRAWS) * 2 + 32), "big")
+    picks = 0
 
     def pick(n: int) -> int:
-        nonlocal drawn
+        nonlocal drawn, picks
+        if picks and picks % DRAWS == 0:
+            drawn = int.from_bytes(hashlib.shake_256(seed + str(picks).encode()).digest(DRAWS * 2 + 32), "big")
+        picks += 1
         drawn, out = divmod(drawn, n)
         return out
 
@@ -127,6 +143,7 @@ def surrogate(key: bytes, kind: str, entity: str, tries: int) -> str:
     if kind == "ipv4":
         return ".".join(str((pick(10), 10 + pick(90), 100 + pick(156))[len(part) - 1]) for part in entity.split("."))
     chars = []
+    hexes = kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity) is not None
     keep = entity.rfind(".") if kind == "email" else len(entity)  # the top-level domain stays
     for i, c in enumerate(entity):
         if i > keep or not c.isalnum() or not c.isascii():
@@ -135,12 +152,11 @@ def surrogate(key: bytes, kind: str, entity: str, tries: int) -> str:
             first = kind == "phone" and (i == 0 or len(entity) == 11 and i == 1)
             chars.append(c if kind == "phone" and i == 0 and len(entity) > 10 else str(2 + pick(8) if first else pick(10)))
         else:
-            hexes = kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity) is not None
             letters = "abcdef" if hexes else "abcdefghijklmnopqrstuvwxyz"
             letter = letters[pick(len(letters))]
             chars.append(letter if c.islower() else letter.upper())
     out = "".join(chars)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity):
+    if hexes:
         out = "".join("0123456789abcdef"[pick(16)] for _ in entity)
     if kind == "card":  # as valid, or as invalid, as the original
         last = next(d for d in "0123456789" if _luhn(out[:-1] + d))
@@ -206,8 +222,10 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_entities, kinds, text): every detected entity of the whole text replaced by its surrogate.
 
-    Types: e-mail, secrets after a name and a sign, access keys, IBAN, card and social
-    security numbers, IPv4, phone numbers, and names after a title. A surrogate depends on a
+    Types: e-mail, secrets after a name and a sign (of any length, up to the first sign that
+    no token has), access keys, IBAN, card and social security numbers, IPv4, phone numbers,
+    and names after a title, with all other mentions of such a name in the same text, as
+    written or in capitals. A surrogate depends on a
     secret key, the type and the entity alone, so all mentions everywhere get the same one;
     `surrogate_table` keeps them distinct. It has the entity's format: digits for digits,
     letters for letters, the mention's separators and capitals, valid check digits for valid
