@@ -173,6 +173,10 @@ oracle("pulse_merge", """SELECT event_date, round(coalesce(total_revenue, 0.0),
   FROM s_kpi_rev FULL OUTER JOIN s_kpi_risk USING (event_date) FULL OUTER JOIN s_kpi_act USING (event_date)""")
 oracle("km_pivot", """SELECT target_month, day, round(min(survival_prob * 100) FILTER (dimension_value = 'Male'), 4) AS "Male", round(min(survival_prob * 100) FILTER (dimension_value = 'Female'), 4) AS "Female",
   round(min(survival_prob * 100) FILTER (dimension_value = 'Unknown'), 4) AS "Unknown" FROM s_km1 WHERE dimension = 'gender_profile' GROUP BY 1, 2""")
+oracle("km_pivot_all", "SELECT target_month, dimension, day, " + ", ".join(
+    f"""round(min(survival_prob * 100) FILTER (lower(dimension_value) = '{v.lower()}'), 3) AS "{v}\""""
+    for v in ("Unknown", "15-20", "21-25", "26-35", "36-50", "51-65", "Male", "Female", "low", "medium", "high",
+              "low_skip", "mid_skip", "high_skip")) + " FROM s_km1 GROUP BY 1, 2, 3")
 oracle("decay_pivot", """SELECT snapshot_month, CAST(m AS INTEGER) AS month_num, 'T+' || m AS timeline, """ + ", ".join(
     f"""round(pow(least(greatest(1 - (avg(churn_probability) FILTER (price_segment = '{k}')) * 0.85, 0.05), 0.99), m) * 100, 4) AS "{n}\""""
     for k, n in (("standard_4.5_8", "Standard"), ("deal_<4.5", "Deal Hunter"), ("premium_>=8", "Premium"))) + " FROM s_scored, range(1, 13) t(m) GROUP BY snapshot_month, m")

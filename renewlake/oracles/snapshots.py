@@ -146,6 +146,13 @@ oracle("snapshot_fallback", """SELECT month_start, CASE WHEN s.n > 0 THEN s.n EL
   round(CASE WHEN s.n > 0 THEN s.a ELSE f.auto_renew_rate END, 4) AS auto_renew_rate
   FROM s_dash_metrics f FULL OUTER JOIN (SELECT snapshot_month AS month_start, total_expiring_users AS n, historical_churn_rate AS c,
     overall_median_survival AS m, auto_renew_rate AS a FROM s_tab1_kpis WHERE source = 'realtime_2017_plus') s USING (month_start)""")
+oracle("snapshot_fallback_whole", " UNION ALL ".join(f"""SELECT month_start, CASE WHEN s.n > 0 THEN s.n ELSE f.total_expiring_users END AS total_expiring_users,
+  round(CASE WHEN s.n > 0 THEN s.c ELSE f.historical_churn_rate END, 4) AS historical_churn_rate,
+  CASE WHEN s.m > 0 THEN s.m ELSE coalesce(f.median_survival_days, 0.0) END AS median_survival_days,
+  round(CASE WHEN s.n > 0 THEN s.a ELSE f.auto_renew_rate END, 4) AS auto_renew_rate, '{given}' AS given
+  FROM s_dash_metrics f FULL OUTER JOIN (SELECT snapshot_month AS month_start, total_expiring_users AS n, historical_churn_rate AS c,
+    overall_median_survival AS m, auto_renew_rate AS a FROM s_tab1_kpis WHERE {part}) s USING (month_start)"""
+  for given, part in (("whole", "true"), ("realtime part", "source = 'realtime_2017_plus'"))))
 cte("s_cohort", f"""SELECT s.snapshot_month, s.msno, churned, is_auto_renew, price_segment, loyalty_segment, active_segment, discovery_ratio, skip_ratio,
   coalesce(avg_paid, 0.0) AS avg_paid, coalesce(avg_plan_days, 30.0) AS avg_plan_days, coalesce(CAST(txn_count AS DOUBLE), 1.0) AS txn_count,
   coalesce(avg_daily_secs, 0.0) AS avg_daily_secs FROM s_snap s

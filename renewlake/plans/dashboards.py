@@ -106,6 +106,16 @@ def _(spark, sf):
         Q.tab1_kpis(live), Q.dashboard_metrics(tx), Q.dashboard_survival(tx, fx.members(spark, sf)))
 
 
+@query("snapshot_fallback_whole")
+def _(spark, sf):
+    # Once with the whole snapshot, once with its realtime part alone.
+    snapshot, tx = tb.snapshot(spark, sf), fx.transactions(spark, sf)
+    facts = Q.dashboard_metrics(tx), Q.dashboard_survival(tx, fx.members(spark, sf))
+    live = snapshot.where("source = 'realtime_2017_plus'")
+    whole = Q.snapshot_fallback(Q.tab1_kpis(snapshot), *facts).withColumn("given", F.lit("whole"))
+    return whole.unionByName(Q.snapshot_fallback(Q.tab1_kpis(live), *facts).withColumn("given", F.lit("realtime part")))
+
+
 @query("model_cohort")
 def _(spark, sf):
     return Q.model_cohort(tb.snapshot(spark, sf), fx.transactions(spark, sf), fx.user_logs(spark, sf))

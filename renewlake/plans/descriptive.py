@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from renewlake import params as P
 from renewlake.functions import buckets as B, cols as C
 from renewlake.operators import descriptive as D, pulse as E, scoring, serving as Q, views as W
 from renewlake.plans import tables as tb
@@ -281,6 +282,16 @@ def _(spark, sf):
     return W.km_pivot(curve, ["target_month"], ["Male", "Female", "Unknown"])
 
 
+@query("km_pivot_all", digits=3)
+def _(spark, sf):
+    # km_pivot shows one dimension; here all are rows, and the labels of all are columns. The
+    # curve's own sixth digit can differ between engines, so one digit less than there.
+    labels = dict.fromkeys((*P.AGE_LABELS, *P.GENDER_LABELS, "low", "medium", "high", "low_skip", "mid_skip", "high_skip"))
+    value = F.when(F.lower("dimension_value") == "unknown", "Unknown").otherwise(F.col("dimension_value"))
+    curve = D.km_artifact(tab1(spark, sf)).withColumn("dimension_value", value)
+    return W.km_pivot(curve, ["target_month", "dimension"], list(labels))
+
+
 @query("decay_pivot")
 def _(spark, sf):
     return W.decay_pivot(scoring.forecast_decay(tb.scored_cohort(spark, sf)), ["snapshot_month"], ["Standard", "Deal Hunter", "Premium"])
