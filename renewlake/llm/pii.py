@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from renewlake.llm.common import prepared, stored, texts_of
 
 BROADCAST_MENTIONS = 200_000
-PLAIN_ROUNDS = 12  # after so many collisions a surrogate may grow by a sign
+PLAIN_ROUNDS = 12  # after so many collisions a surrogate may grow by a sign, an address may have any
 
 # Types in order of precedence where matches overlap; a group named v is the part to replace (fixed patterns).
 PATTERNS = (
@@ -141,6 +141,8 @@ def surrogate(key: bytes, kind: str, entity: str, tries: int) -> str:
         end = ENDS[script][kind[-1]]
         return body + (end if body[-1] in hard else hard[pick(len(hard))] + end)
     if kind == "ipv4":
+        if grow:  # octets of any length
+            return ".".join(str(pick(256)) for _ in range(4))
         return ".".join(str((pick(10), 10 + pick(90), 100 + pick(156))[len(part) - 1]) for part in entity.split("."))
     chars = []
     hexes = kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity) is not None

@@ -37,3 +37,11 @@ def test_names_without_a_title(table):
     assert {first, last}.isdisjoint({"John", "Smith"}) and got[1] == texts[1]
     assert "another Dr" in got[2] and "Weber" not in got[2] and "Braun" not in got[2]
     assert re.fullmatch(r"господин ([А-Я][а-я]+), потом \1", got[3])
+
+
+def test_addresses_grow_after_collisions():
+    late = [pii.surrogate(b"key", "ipv4", "1.2.3.4", pii.PLAIN_ROUNDS + k) for k in range(1, 400)]
+    assert len(set(late)) == 399 and len({tuple(map(len, a.split("."))) for a in late}) > 5
+    assert all(spans(a) == [(a, "ipv4")] for a in late)
+    early = [pii.surrogate(b"key", "ipv4", "1.2.3.4", k) for k in range(pii.PLAIN_ROUNDS + 1)]
+    assert all(len(a) == 7 for a in early)
