@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import bpe, line_dedup, mixing, multi_index, ngram_join, pii, quality, substrings, topk, toxicity
+from renewlake.llm import (bpe, line_dedup, mixing, multi_index, ngram_join, periods, pii, quality, substrings,
+                           topk, toxicity)
 from renewlake.llm.common import crc_mod, read_table
 from renewlake.llm.vectors import one_per_id
 
@@ -96,3 +97,36 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents of op13: every tenth, by crc32 of its id, repeats a stretch of its words up to its end.
+
+    With h the checksum, g = floor(h / 10) and n words, the words from a = g mod n on become
+    the first p = 1 + floor((n - a) / (3 + g mod 8)) of them, over and over.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = F.split(F.when(h % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+")  # null for the other nine
+    words = docs.select("doc_id", "text", F.filter(split, lambda w: w != "").alias("words"), F.floor(h / 10).alias("g"))
+    counted = words.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    cut = counted.withColumn("a", (F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(again, 1, rest)), " ")
+    return cut.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(with_planted_periods(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.short")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
