@@ -63,3 +63,40 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), worded AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), runs AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3]) AS k))
+), f AS (
+  SELECT lang, k, phrase, count(*) AS c FROM runs GROUP BY ALL HAVING count(*) >= 10
+), totals AS (
+  SELECT lang, count(*) AS n FROM runs WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, k, phrase, c AS a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') AS tail
+  FROM f, (SELECT unnest([1, 2]) AS cut) WHERE cut < k
+), scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, x.c AS l, y.c AS r,
+    ((1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), held AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(c) AS longer
+  FROM f, (SELECT unnest([1, 2]) AS i) WHERE k = 3 GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held ON held.lang = lowest.lang AND held.phrase = lowest.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from renewlake.llm import (bpe, line_dedup, mixing, multi_index, ngram_join, periods, pii, quality, substrings,
-                           topk, toxicity)
+from renewlake.llm import (bpe, line_dedup, mixing, multi_index, ngram_join, periods, phrases, pii, quality,
+                           substrings, topk, toxicity)
 from renewlake.llm.common import crc_mod, read_table
 from renewlake.llm.vectors import one_per_id
 
@@ -99,6 +99,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """The documents of op13: every tenth, by crc32 of its id, repeats a stretch of its words up to its end.
 
