@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from renewlake.llm.common import prepared, stored
 from renewlake.llm.words import mixed
 
-CHUNK_WORDS = 1_000_000  # words that a task counts at once; a longer document is a chunk of its own
+CHUNK_WORDS = 300_000  # words that a task counts at once; a longer document is a chunk of its own
 PART_MASS = 1 << 23  # n-grams, at most, that one hash partition is planned for
 KEY_BITS = 40  # of an n-gram's hash, beside its partition
 BROADCAST_SURVIVORS = 4_000_000  # hashes of 8 bytes
@@ -26,39 +26,50 @@ def piece_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).replace(b".", b" . ").split()
 
 
+class Numbers(dict):
+    """Words by the order in which they first came; b'.' is 0."""
+
+    def __init__(self):
+        self[b"."] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 class Chunk:
     """The words of some documents as numbers, with a 64-bit hash for each n-gram of one language."""
 
     def __init__(self):
-        self.index, self.words, self.starts, self.langs = {b".": 0}, [], [], []
+        self.index, self.langs, self.parts, self.size = Numbers(), [], [], 0
 
     def add(self, lang: str | None, text: str | None) -> None:
-        self.starts.append(len(self.words))
+        words = piece_words(text)
+        words.append(b".")
         self.langs.append(NO_LANG if lang is None else lang)
-        self.words += piece_words(text)
-        self.words.append(b".")
+        self.parts.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+        self.size += len(words)
 
     def close(self) -> None:
-        number = self.index.setdefault
-        self.ids = np.fromiter((number(w, len(self.index)) for w in self.words), np.int64, len(self.words))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.index), np.uint64, len(self.index))
+        self.ids, self.words = np.concatenate(self.parts), list(self.index)
         self.names = sorted(set(self.langs))
         order = {name: i for i, name in enumerate(self.names)}
-        lengths = np.diff(np.append(self.starts, len(self.words)))
-        self.lang = np.repeat(np.array([order[x] for x in self.langs], np.int64), lengths)
-        of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.names], np.uint64)
-        self.hashes, self.of_lang = hashes[self.ids], of_lang[self.lang]
+        self.lang = np.repeat(np.array([order[x] for x in self.langs], np.int32), [len(p) for p in self.parts])
+        self.of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.names], np.uint64)
+        self.parts = self.index = None
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of every run of n words inside a piece."""
         count = max(len(self.ids) - n + 1, 0)
         inside = np.ones(count, bool)
-        value = self.of_lang[:count] + np.uint64(n)
         for i in range(n):
             inside &= self.ids[i:count + i] != 0
-            value = mixed(value * PROBE + self.hashes[i:count + i])
         at = np.flatnonzero(inside)
-        return at, value[at]
+        value = self.of_lang[self.lang[at]] + np.uint64(n)
+        for i in range(n):
+            value = mixed(value * PROBE + self.of_word[self.ids[at + i]])
+        return at, value
 
 
 def chunks(batches):
@@ -67,11 +78,11 @@ def chunks(batches):
     for batch in batches:
         for lang, text in zip(*[c.to_pylist() for c in batch.columns]):
             now.add(lang, text)
-            if len(now.words) >= CHUNK_WORDS:
+            if now.size >= CHUNK_WORDS:
                 now.close()
                 yield now
                 now = Chunk()
-    if now.words:
+    if now.size:
         now.close()
         yield now
 
@@ -171,45 +182,41 @@ def _merge(capacity: int, threshold: int):
     return run
 
 
+def _rows(gram, lang, size, phrase, n):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram, pa.int64()), pa.array(lang, pa.string()), pa.array([size] * len(n), pa.int32()),
+         pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["gram", "lang", "size", "phrase", "n"])
+
+
 def _counted(most: int, parts: int, survivors):
     """Counts of n-grams as text, of the survivors alone if they were broadcast; size 0 counts all words of a language."""
 
     def run(batches):
+        wanted = None if survivors is None else survivors.value
         for chunk in chunks(batches):
-            wanted = None if survivors is None else survivors.value
-            rows = [[], [], [], [], []]  # gram, lang, size, phrase, n
-
-            def put(gram, lang, size, phrase, n):
-                for column, values in zip(rows, (gram, lang, size, phrase, n)):
-                    column += values
-
             total = np.bincount(chunk.lang[chunk.ids != 0], minlength=len(chunk.names)).tolist()
-            put([None] * len(total), chunk.names, [0] * len(total), [None] * len(total), total)
+            yield _rows([None] * len(total), chunk.names, 0, [None] * len(total), total)
             for n in range(1, most + 1):
                 at, value = chunk.grams(n)
                 value = partitioned(value, parts)
                 order = np.argsort(value, kind="stable")
                 at, value = at[order], value[order]
-                if wanted is not None and len(value):
+                if wanted is not None:
                     spot = np.searchsorted(wanted, value)
-                    hit = wanted[np.minimum(spot, len(wanted) - 1)] == value if len(wanted) else np.zeros(len(value), bool)
+                    hit = spot < len(wanted)
+                    hit[hit] = wanted[spot[hit]] == value[hit]
                     at, value = at[hit], value[hit]
                 if not len(at):
                     continue
                 # n-grams of one hash are told apart by their words
                 codes = np.stack([value.astype(np.int64), chunk.lang[at], *[chunk.ids[at + i] for i in range(n)]])
-                new = np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
-                first = np.flatnonzero(new)
+                first = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)]))
                 counts = np.diff(np.append(first, len(at)))
-                starts = at[first].tolist()
-                put(codes[0, first].tolist(), [chunk.names[i] for i in codes[1, first]], [n] * len(first),
-                    [b" ".join(chunk.words[i:i + n]).decode() for i in starts], counts.tolist())
-            for lo in range(0, len(rows[0]), 100_000):
-                gram, lang, size, phrase, n = [c[lo:lo + 100_000] for c in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram, pa.int64()), pa.array(lang, pa.string()), pa.array(size, pa.int32()),
-                     pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                    names=["gram", "lang", "size", "phrase", "n"])
+                codes = codes[:, first]
+                for lo in range(0, len(first), 20_000):
+                    some = codes[:, lo:lo + 20_000]
+                    text = [b" ".join([chunk.words[i] for i in ids]).decode() for ids in some[2:].T.tolist()]
+                    yield _rows(some[0], [chunk.names[i] for i in some[1].tolist()], n, text, counts[lo:lo + 20_000])
 
     return run
 
