@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from renewlake.llm import (bpe, line_dedup, mixing, multi_index, ngram_join, periods, phrases, pii, quality,
-                           substrings, topk, toxicity)
+                           site_tree, substrings, topk, toxicity)
 from renewlake.llm.common import crc_mod, read_table
 from renewlake.llm.vectors import one_per_id
 
@@ -99,6 +99,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_tree.main_texts(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))

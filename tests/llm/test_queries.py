@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from renewlake.llm import oracles, queries
 
-DEALT = {*range(1, 11), 12, 13}
+DEALT = set(range(1, 14))
 TABLES = ("documents", "embeddings", "labels")
 
 
