@@ -24,10 +24,14 @@ def activity_kpi(logs: DataFrame, date_column: str = "date") -> DataFrame:
     Rows are first reduced to one per (day, member): the distinct count needs no
     expansion and a member with very many rows is one row in the second step.
     """
-    member_day = logs.groupBy(F.col(date_column).alias("event_date"), "msno").agg(
+    return activity_from_member_days(member_days(logs, date_column))
+
+
+def member_days(logs: DataFrame, date_column: str = "date") -> DataFrame:
+    """Seconds, distinct songs and the rows that have them, by member and day; parts of a day add up."""
+    return logs.groupBy(F.col(date_column).alias("event_date"), "msno").agg(
         F.sum("total_secs").alias("secs"), F.sum("num_unq").alias("unq"), F.count("num_unq").alias("rows")
     )
-    return activity_from_member_days(member_day)
 
 
 def activity_from_member_days(member_day: DataFrame) -> DataFrame:

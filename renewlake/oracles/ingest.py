@@ -83,6 +83,8 @@ oracle("replay_date_filter", """SELECT start, transaction_date AS day, count(*)
 oracle("kafka_source", "SELECT msno AS key, count(*) AS messages FROM d_elogs GROUP BY ALL")
 oracle("stream_fact_and_kpi", """SELECT transaction_date AS event_date, round(sum(actual_amount_paid), 4) AS total_revenue, count(*) AS total_transactions,
   count(*) FILTER (is_cancel = 1) AS cancel_count, count(*) FILTER (is_auto_renew = 1) AS auto_renew_count, count(*) AS fact_rows FROM s_clean_tx GROUP BY ALL""")
+oracle("stream_activity", """SELECT date AS event_date, count(DISTINCT msno) AS active_users, round(sum(total_secs), 4) AS total_listening_secs,
+  round(avg(num_unq), 4) AS avg_unique_songs, count(*) AS fact_rows FROM d_elogs GROUP BY ALL""")
 oracle("stream_churn_risk", """SELECT event_date, count(*) FILTER (risk >= 0.6) AS high_risk_users, round(avg(risk), 4) AS avg_risk_score FROM (
   SELECT event_date, 0.4 * coalesce(is_cancel, 0.0) + 0.3 * (1.0 - coalesce(is_auto_renew, 1.0)) + 0.3 * CAST(secs < 1800 AS DOUBLE) AS risk
   FROM (SELECT msno, date AS event_date, sum(total_secs) AS secs FROM d_elogs GROUP BY ALL) LEFT JOIN s_profile USING (msno)) GROUP BY ALL""")

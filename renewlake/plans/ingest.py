@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime as dt
+
+from pyspark.sql import functions as F, types as T
 
 from renewlake.functions import cols as C
 from renewlake.operators import cleaning as N, kpis as K, labels as L, serving as Q, snapshot as M
@@ -283,22 +285,37 @@ def _drain(queries) -> None:
         q.awaitTermination()
 
 
-def _event_messages(spark, sf, name: str) -> str:
-    """Message files of the event log, whole days per file."""
-    path = new_path(spark, name)
-    logs = fx.event_logs(spark, sf)
-    fields = [F.date_format("date", "yyyy-MM-dd").alias(f.name) if f.name == "date" else F.col(f.name) for f in S.USER_LOGS.fields]
-    messages = logs.select("date", F.col("msno").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
-    E.write_messages(messages, path, order_by="date")
+FILES = 4  # message files over which every day of a topic is spread
+
+
+def _messages(rows: DataFrame, table: str, path: str) -> str:
+    """Message files of typed rows, each with a share of every day."""
+    schema = E.EVENT_SCHEMAS[table]
+    dates = {f.name for f in schema.fields if isinstance(f.dataType, T.DateType)}
+    fields = [F.date_format(n, "yyyy-MM-dd").alias(n) if n in dates else F.col(n) for n in schema.names]
+    E.write_messages(rows.select(F.col("msno").alias("key"), F.to_json(F.struct(*fields)).alias("value")), path, files=FILES)
     return path
 
 
+def _event_messages(spark, sf, name: str) -> str:
+    return _messages(fx.event_logs(spark, sf), "user_logs", new_path(spark, name))
+
+
+def _run_last_batch_again(spark, run, checkpoint: str) -> None:
+    """Take back the last commit, as if the driver had been lost before it, and start the stream anew."""
+    jobs.forget_last_commit(spark, checkpoint)
+    _drain(run())
+
+
 @query("kafka_source")
 def _(spark, sf):
-    source = _event_messages(spark, sf, "topic")
-    out = new_path(spark, "topic-copy")
-    _drain(jobs.append_stream(E.message_files(spark, source), f"{out}/rows", f"{out}/checkpoint", available_now=True))
-    return spark.read.parquet(f"{out}/rows").groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
+    """Every message once, although the last batch is written twice."""
+    source, out = _event_messages(spark, sf, "topic"), new_path(spark, "topic-copy")
+    rows, checkpoint = f"{out}/rows", f"{out}/checkpoint"
+    run = lambda: jobs.append_stream(E.message_files(spark, source), rows, checkpoint, available_now=True)
+    _drain(run())
+    _run_last_batch_again(spark, run, checkpoint)
+    return jobs.read_batches(spark, rows).groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query("stream_fact_and_kpi")
@@ -306,33 +323,59 @@ def _(spark, sf):
     source, out = new_path(spark, "tx-topic"), new_path(spark, "tx-stream")
     raw = N.typed_transactions(tb.raw_transactions(spark, sf).drop("rid")).where(N.valid_transactions())
     text = raw.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("transaction_date", "membership_expire_date")})
-    E.write_messages(E.encode(text, "transactions", ("transaction_date",)), source, order_by="transaction_date")
-    _drain(jobs.transaction_stream(E.message_files(spark, source), out, available_now=True))
+    E.write_messages(E.encode(text, "transactions"), source, files=FILES)
+    run = lambda: jobs.transaction_stream(E.message_files(spark, source), out, available_now=True)
+    _drain(run())
+    _run_last_batch_again(spark, run, f"{out}/checkpoints/kpi")
     facts = jobs.read_batches(spark, f"{out}/fact").groupBy(F.col("transaction_date").alias("event_date")).agg(
         F.count(F.lit(1)).alias("fact_rows"))
-    kpi = jobs.read_batches(spark, f"{out}/kpi").groupBy("event_date").agg(
-        *[F.sum(c).alias(c) for c in ("total_revenue", "total_transactions", "cancel_count", "auto_renew_count")])
+    kpi = jobs.newest_days(spark, f"{out}/kpi")
     return kpi.join(facts, "event_date", "full_outer")
 
 
+@query("stream_activity")
+def _(spark, sf):
+    """Activity of days that are spread over four batches, the last of which runs twice."""
+    source, out = _event_messages(spark, sf, "activity-topic"), new_path(spark, "activity-stream")
+    run = lambda: jobs.activity_stream(E.message_files(spark, source), out, available_now=True)
+    _drain(run())
+    for name in ("fact", "kpi"):
+        _run_last_batch_again(spark, run, f"{out}/checkpoints/{name}")
+    facts = jobs.read_batches(spark, f"{out}/fact").groupBy(F.col("log_date").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("fact_rows"))
+    return jobs.newest_days(spark, f"{out}/kpi").join(facts, "event_date", "full_outer")
+
+
 @query("stream_churn_risk")
 def _(spark, sf):
     source, out = _event_messages(spark, sf, "log-topic"), new_path(spark, "risk-stream")
-    _drain(jobs.churn_risk_stream(
-        E.message_files(spark, source), lambda: tb.tx_profile(spark, sf), out, available_now=True))
-    return jobs.read_batches(spark, f"{out}/kpi").drop("processed_at", "batch_id")
+    run = lambda: jobs.churn_risk_stream(
+        E.message_files(spark, source), lambda: tb.tx_profile(spark, sf), out, available_now=True)
+    _drain(run())
+    _run_last_batch_again(spark, run, f"{out}/checkpoints/risk")
+    return jobs.newest_days(spark, f"{out}/kpi")
 
 
 @query("stream_daily_upsert")
 def _(spark, sf):
-    # The event log in files that split days, and the first day's events delivered twice. Files may
-    # arrive in any order, so the watermark spans the month.
+    """The event log with the default delay of two days.
+
+    Files come in order of time, then again the first day and a half, and last the events of
+    a member in nine from all but the last days, which by then are up to a month late.
+    """
     path, out = new_path(spark, "event-files"), new_path(spark, "daily-stream")
     logs = fx.event_logs(spark, sf).select("event_id", "ts", "msno", "num_unq", "total_secs")
-    logs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "ts").write.parquet(path)
-    logs.where(F.col("ts") < F.lit("2024-01-02 12:00:00").cast("timestamp")).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    _drain(jobs.daily_upsert_stream(spark, stream, out, available_now=True, late="31 days"))
+    slow = F.pmod(F.xxhash64("msno"), F.lit(9)) == 0
+    cut = logs.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    held_back = F.coalesce(slow & (F.col("ts") < F.lit(cut["last"] - dt.timedelta(days=5))), F.lit(False))
+    for part in (logs.where(~held_back), logs.where(F.col("ts") < F.lit(cut["first"] + dt.timedelta(hours=36))), logs.where(held_back)):
+        part.repartitionByRange(FILES, "ts").write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    for run in (jobs.on_time_stream, jobs.late_event_stream):
+        start = lambda run=run: run(spark, stream(), out, available_now=True)
+        _drain(start())
+        _run_last_batch_again(spark, start, f"{out}/checkpoints/{'daily' if run is jobs.on_time_stream else 'late'}")
+    jobs.reconcile(spark, out)
     return jobs.current_daily_kpi(spark, out)
 
 

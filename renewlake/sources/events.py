@@ -80,8 +80,15 @@ def replay_days(rows: DataFrame, date_column: str, start: str | None = None, max
     return dated.join(days, "replay_date")
 
 
-def write_messages(messages: DataFrame, path: str, order_by: str | None = None) -> None:
-    """Message files in replay order: each file holds whole days when ordered by a date column."""
-    if order_by:
-        messages = messages.repartitionByRange(order_by)
-    messages.select("key", "value").write.mode("overwrite").parquet(path)
+def write_messages(messages: DataFrame, path: str, order_by: str | None = None, files: int | None = None) -> None:
+    """Message files, by ranges of a date column if one is given.
+
+    Ranges are cut by the date and, within a date, by a hash of the message: a day with very
+    many messages is spread over several files and tasks. Without a date every file gets a
+    share of all messages. `files` is their number; left out, the planner's.
+    """
+    count = [] if files is None else [files]
+    salt = F.xxhash64("key", "value")
+    by = [order_by, salt] if order_by else [salt]
+    dealt = messages.repartitionByRange(*count, *by) if order_by else messages.repartition(*count, *by)
+    dealt.select("key", "value").write.mode("overwrite").parquet(path)

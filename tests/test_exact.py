@@ -72,8 +72,8 @@ def test_daily_upsert_is_exact_under_batches_and_repeats(spark):
     for part in (rows[:150], rows[150:300], rows[300:], rows[:150]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.daily_upsert_stream(spark, stream(), out, available_now=True, late="5 days").awaitTermination()
-    jobs.daily_upsert_stream(spark, stream(), out, available_now=True, late="5 days").awaitTermination()  # restart
+    jobs.on_time_stream(spark, stream(), out, available_now=True, late=dt.timedelta(days=5)).awaitTermination()
+    jobs.on_time_stream(spark, stream(), out, available_now=True, late=dt.timedelta(days=5)).awaitTermination()  # restart
     got = {r["event_date"]: (r["active_users"], r["total_listening_secs"]) for r in jobs.current_daily_kpi(spark, out).collect()}
     want = {}
     for day in {r[1].date() for r in rows}:
