@@ -11,19 +11,18 @@ from renewlake import params as P
 from renewlake.functions import buckets as B
 from renewlake.functions.cols import clip, count_if, filled, flag, month_label
 from renewlake.functions.ranks import cumulative_counts, percentile_rank
-from renewlake.operators.scoring import churn_probability, decay_rows
+from renewlake.operators.scoring import SCORE, SignalSum, decay_rows
 from renewlake.operators.serving import half_even
-from renewlake.params import ScoreModel
 
 DIMENSIONS = ("price_segment", "renewal_segment", "loyalty_segment", "active_segment", "skip_segment",
               "discovery_segment", "rfm_segment", "bi_segment_name", "gender_profile")
 RISK, KEPT, AMOUNT = "expected_revenue_at_risk_30d", "expected_retained_revenue_30d", "expected_renewal_amount"
 
 
-def rule_probability(features: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
+def rule_probability(features: DataFrame, score: SignalSum = SCORE) -> DataFrame:
     """Deterministic probability from feature columns with the weights of the rule score."""
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    prob = churn_probability(model, {
+    prob = score.probability({
         "manual_flag": one(F.col("is_auto_renew") == 0),
         "low_activity_flag": one(F.col("secs_per_log") < P.LOW_ACTIVITY_SECS),
         "high_skip_flag": one(F.col("skip_ratio") > 0.5),

@@ -2,44 +2,80 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from renewlake.functions.buckets import first_match
 from renewlake.functions.cols import clip, filled
-from renewlake.params import ScoreModel
+from renewlake.params import SIGNALS, Signal
 
 DECAY_SEGMENTS = (("standard_4.5_8", "Standard"), ("deal_<4.5", "Deal Hunter"), ("premium_>=8", "Premium"))
 MONTH = "snapshot_month"
 
 
-def flags_of(model: ScoreModel) -> dict[str, Column]:
-    return {s.column: F.col(s.column) for s in model.signals}
+# Each formula has its own numbers; all of them are fixed values.
+
+@dataclass(frozen=True)
+class SignalSum:
+    """Probability of churn: a base rate and what each warning sign adds, kept away from 0 and 1."""
+
+    signals: tuple[Signal, ...] = SIGNALS
+    base_rate: float = 0.05
+    bounds: tuple[float, float] = (0.01, 0.99)
+
+    def probability(self, flags: dict[str, Column]) -> Column:
+        total = F.lit(self.base_rate)
+        for s in self.signals:
+            total = total + s.weight * flags[s.column]
+        return clip(total, *self.bounds)
+
+    def flags(self) -> dict[str, Column]:
+        return {s.column: F.col(s.column) for s in self.signals}
+
+
+@dataclass(frozen=True)
+class Hazard:
+    """Hazard ratio: 1 for who surely stays, more with the probability and with the signs that hasten churn."""
+
+    per_probability: float = 1.5
+    least: float = 0.1
+
+    def ratio(self, score: SignalSum, probability: Column, flags: dict[str, Column]) -> Column:
+        total = 1.0 + self.per_probability * probability
+        for s in sorted(score.signals, key=lambda s: -s.hazard):
+            if s.hazard:
+                total = total + s.hazard * flags[s.column]
+        return F.greatest(total, F.lit(self.least))
+
+
+@dataclass(frozen=True)
+class Horizon:
+    """Months looked ahead: half a year is paid for in any case, the next as likely as the member stays."""
+
+    half_year: float = 6.0
+    payment_bonus: float = 0.03  # share of value that each past payment adds
 
+    def lifetime_value(self, paid: Column, payments: Column, probability: Column) -> Column:
+        months = self.half_year + (1.0 - probability) * self.half_year
+        return F.greatest(paid * months * (1.0 + payments * self.payment_bonus), F.lit(0.0))
 
-def churn_probability(model: ScoreModel, flags: dict[str, Column]) -> Column:
-    total = F.lit(model.without_signals)
-    for s in model.signals:
-        total = total + s.weight * flags[s.column]
-    return clip(total, model.least, model.most)
+    def at_risk(self, paid: Column, probability: Column) -> Column:
+        return F.greatest(probability * paid * self.half_year, F.lit(0.0))
 
 
-def hazard(model: ScoreModel, probability: Column, flags: dict[str, Column]) -> Column:
-    total = model.hazard_of_nobody + model.hazard_of_churner * probability
-    for s in sorted(model.signals, key=lambda s: -s.hazard):
-        if s.hazard:
-            total = total + s.hazard * flags[s.column]
-    return F.greatest(total, F.lit(0.1))
+SCORE, HAZARD, HORIZON = SignalSum(), Hazard(), Horizon()
 
 
 def _one(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def primary_driver(model: ScoreModel) -> Column:
+def primary_driver(score: SignalSum) -> Column:
     """Largest weighted signal, the first one on a tie."""
-    scores = [(s.weight * F.col(s.column), s.driver) for s in model.signals]
-    best = F.greatest(*[score for score, _ in scores])
-    return first_match([(score == best, name) for score, name in scores[:-1]], scores[-1][1])
+    scores = [(s.weight * F.col(s.column), s.driver) for s in score.signals]
+    best = F.greatest(*[value for value, _ in scores])
+    return first_match([(value == best, name) for value, name in scores[:-1]], scores[-1][1])
 
 
 def strategic_segment() -> Column:
@@ -48,7 +84,7 @@ def strategic_segment() -> Column:
     return F.concat_ws(" / ", "price_segment", "payment_mode", listener)
 
 
-def score_members(cohort: DataFrame, model: ScoreModel = ScoreModel()) -> DataFrame:
+def score_members(cohort: DataFrame, score: SignalSum = SCORE) -> DataFrame:
     inputs = cohort.select(
         MONTH,
         "msno",
@@ -70,16 +106,13 @@ def score_members(cohort: DataFrame, model: ScoreModel = ScoreModel()) -> DataFr
         "daily_price_est": F.greatest(F.col("avg_paid") / F.col("_plan_days"), F.lit(0.0)),
         "payment_mode": F.when(F.col("manual_flag") == 0, "Auto-Renew").otherwise("Manual Renewal"),
     })
-    flags = flags_of(model)
-    scored = flagged.withColumn("churn_probability", churn_probability(model, flags))
-    prob = F.col("churn_probability")
-    months = model.sure_months + (1.0 - prob) * model.loyal_months
+    scored = flagged.withColumn("churn_probability", score.probability(score.flags()))
+    prob, paid = F.col("churn_probability"), F.col("avg_paid")
     return scored.withColumns({
-        "predicted_future_cltv": F.greatest(
-            F.col("avg_paid") * months * (1.0 + F.col("txn_count") * model.value_per_payment), F.lit(0.0)),
-        "revenue_at_risk": F.greatest(prob * F.col("avg_paid") * model.months_at_risk, F.lit(0.0)),
-        "hazard_ratio_proxy": hazard(model, prob, flags),
-        "primary_risk_driver": primary_driver(model),
+        "predicted_future_cltv": HORIZON.lifetime_value(paid, F.col("txn_count"), prob),
+        "revenue_at_risk": HORIZON.at_risk(paid, prob),
+        "hazard_ratio_proxy": HAZARD.ratio(score, prob, score.flags()),
+        "primary_risk_driver": primary_driver(score),
         "strategic_segment": strategic_segment(),
     }).drop("_plan_days")
 
@@ -174,7 +207,7 @@ def month_over_month(kpis: DataFrame) -> DataFrame:
 
 # --- what-if on the rule-based score ------------------------------------------------
 
-def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, model: ScoreModel = ScoreModel()) -> DataFrame:
+def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, score: SignalSum = SCORE) -> DataFrame:
     """Per member: probability and hazard after moving the three levers (percent, 0..100)."""
     def share(value) -> Column:
         c = value if isinstance(value, Column) else F.lit(float(value))
@@ -186,14 +219,14 @@ def apply_shifts(scored: DataFrame, auto_pct, upsell_pct, skip_pct, model: Score
         "_high_skip": _one(skip_after > 0.5),
         "_upsell": share(upsell_pct),
     })
-    flags = {**flags_of(model), "manual_flag": F.col("_manual"), "high_skip_flag": F.col("_high_skip")}
-    shifted = shifted.withColumn("scenario_probability", churn_probability(model, flags))
+    flags = {**score.flags(), "manual_flag": F.col("_manual"), "high_skip_flag": F.col("_high_skip")}
+    shifted = shifted.withColumn("scenario_probability", score.probability(flags))
     price = F.col("daily_price_est")
     return shifted.withColumns({
-        "scenario_hazard": hazard(model, F.col("scenario_probability"), flags),
+        "scenario_hazard": HAZARD.ratio(score, F.col("scenario_probability"), flags),
         "_baseline": price * 30.0,
         "_saved": F.greatest(F.col("churn_probability") - F.col("scenario_probability"), F.lit(0.0))
-        * price * model.months_at_risk * 30.0,
+        * price * HORIZON.half_year * 30.0,
         "_gain": F.col("_upsell") * F.col("deal_flag") * price * 30.0 * 0.8,
     })
 
