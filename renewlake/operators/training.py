@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from renewlake.functions.cols import clip
 from renewlake.operators.features import numeric_columns
 from renewlake.operators.predictive import eval_metrics
+from renewlake.sources.scratch import new_path, scratch_root
 
 EXCLUDED = ("msno", "is_churn", "transaction_date", "expire_date", "target_month", "last_expire_month",
             "transaction_month", "expire_month")
@@ -22,23 +22,31 @@ EXCLUDED = ("msno", "is_churn", "transaction_date", "expire_date", "target_month
 
 @dataclass(frozen=True)
 class TrainConfig:
-    max_iter: int = 20
+    """Boosting runs until `patience` rounds in a row bring no lower validation loss, or `budget` is used up."""
+
+    budget: int = 2000
+    patience: int = 100
     max_depth: int = 5
     step_size: float = 0.1
     subsampling: float = 0.85
-    min_instances: int = 20
+    feature_share: float = 0.85
+    min_instances: int = 120
+    max_bins: int = 32
     seed: int = 42
 
 
 @dataclass(frozen=True)
 class Trained:
     features: tuple[str, ...]
-    model: PipelineModel
+    model: GBTClassificationModel
     calibrator: object | None
     raw_metrics: dict
     calibrated_metrics: dict
     use_calibrated: bool
     pos_weight: float
+    losses: tuple[float, ...]  # validation log loss after each round that was tried
+    best_round: int
+    path: str  # where the final model is written
 
 
 def time_split(frame: DataFrame, valid_month: int, score_month: int) -> dict[str, DataFrame]:
@@ -80,20 +88,54 @@ def class_weight(train: DataFrame) -> DataFrame:
         F.greatest(negative / F.greatest(positive, F.lit(1)), F.lit(1.0)).alias("scale_pos_weight"))
 
 
-def _with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
+def _with_probability(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     p = vector_to_array("probability")[1]
-    return model.transform(df).withColumn("churn_probability_raw", clip(p, 1e-15, 1 - 1e-15)).drop(
-        "vector", "rawPrediction", "probability", "prediction", "_weight", "_valid")
+    return model.transform(rows).withColumn("churn_probability_raw", clip(p, 1e-15, 1 - 1e-15)).drop(
+        "vector", "rawPrediction", "probability", "prediction", "_weight")
+
+
+def vectors(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with their features as a vector; missing values are -1, below all that a feature takes."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in features]
+    return rows.withColumn("vector", array_to_vector(F.array(*values)))
+
+
+def _stored_vectors(rows: DataFrame, features: list[str], pos_weight: float, name: str) -> DataFrame:
+    """Label, weight and vector as a written table: rounds and stages read it, not the feature job."""
+    path = new_path(rows.sparkSession, name)
+    weight = F.when(F.col("is_churn") == 1, F.lit(pos_weight)).otherwise(F.lit(1.0))
+    # rebalanced: partitions as large as the session wants them, few for few rows
+    vectors(rows, features).select("is_churn", weight.alias("_weight"), "vector").hint("rebalance").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
-def _fit(rows: DataFrame, features: list[str], pos_weight: float, cfg: TrainConfig, trees: int, validate: bool) -> PipelineModel:
-    rows = rows.withColumn("_weight", F.when(F.col("is_churn") == 1, F.lit(pos_weight)).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(
+def _fit(rows: DataFrame, cfg: TrainConfig, trees: int) -> GBTClassificationModel:
+    return GBTClassifier(
         labelCol="is_churn", featuresCol="vector", weightCol="_weight", maxIter=trees, maxDepth=cfg.max_depth,
-        stepSize=cfg.step_size, subsamplingRate=cfg.subsampling, minInstancesPerNode=cfg.min_instances, seed=cfg.seed)
-    if validate:
-        gbt = gbt.setValidationIndicatorCol("_valid")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="keep"), gbt]).fit(rows)
+        maxBins=cfg.max_bins, stepSize=cfg.step_size, subsamplingRate=cfg.subsampling,
+        featureSubsetStrategy=str(cfg.feature_share), minInstancesPerNode=cfg.min_instances, seed=cfg.seed,
+        checkpointInterval=10).fit(rows)
+
+
+def boosting_stages(rows: DataFrame, valid: DataFrame, cfg: TrainConfig) -> tuple[GBTClassificationModel, list[float], int]:
+    """Model, validation log loss after each round, and the round with the lowest.
+
+    Boosting is deterministic, so a longer run starts with the rounds of a shorter one. The
+    first stage runs one round more than the patience. While the best round is less than the
+    patience from the end, the next stage is as long as that patience asks; if the best
+    round lies in the later half, it has half as many rounds again at least, so that a loss
+    that keeps falling costs about three times its last stage.
+    """
+    rounds = min(cfg.patience + 1, cfg.budget)
+    while True:
+        model = _fit(rows, cfg, rounds)
+        # the library's loss is 2 log(1 + exp(-2 y F)): twice the log loss
+        losses = [x / 2 for x in model.evaluateEachIteration(valid)]
+        best = min(range(len(losses)), key=lambda i: (losses[i], i)) + 1
+        if best + cfg.patience <= rounds or rounds == cfg.budget:
+            return model, losses[:min(best + cfg.patience, rounds)], best
+        longer = rounds + rounds // 2 if 2 * best > rounds else 0
+        rounds = min(max(best + cfg.patience, longer), cfg.budget)
 
 
 def _calibrate(scored: DataFrame, calibrator) -> DataFrame:
@@ -106,12 +148,22 @@ def _calibrate(scored: DataFrame, calibrator) -> DataFrame:
 def train(frame: DataFrame, valid_month: int, score_month: int, cfg: TrainConfig = TrainConfig()) -> Trained:
     """Early-stopped boosting on the train months, isotonic calibration where it lowers the
     log loss, refit on all labelled months with the number of trees found."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # boosting cuts its lineage there every ten trees
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     parts = time_split(frame, valid_month, score_month)
     features = select_features(parts["train"], parts["score"])
     weight = float(class_weight(parts["train"]).first()["scale_pos_weight"])
-    marked = parts["full"].withColumn("_valid", F.col("target_month") == valid_month)
-    first = _fit(marked, features, weight, cfg, cfg.max_iter, validate=True)
-    valid = _with_probability(first, parts["valid"])
+    # the loss that decides is that of the plain validation rows
+    fitted = {name: _stored_vectors(parts[name], features, w, f"train-{name}").persist()
+              for name, w in (("train", weight), ("valid", 1.0))}
+    try:
+        tried, losses, best = boosting_stages(fitted["train"], fitted["valid"], cfg)
+    finally:
+        for table in fitted.values():
+            table.unpersist()
+    first = tried if best == tried.getNumTrees else _fit(fitted["train"], cfg, best)
+    valid = _with_probability(first, vectors(parts["valid"], features))
     raw = eval_metrics(valid, prob="churn_probability_raw").first().asDict()
     calibrator, calibrated = None, raw
     if 0.0 < raw["positive_rate"] < 1.0:
@@ -120,23 +172,31 @@ def train(frame: DataFrame, valid_month: int, score_month: int, cfg: TrainConfig
         calibrated = eval_metrics(_calibrate(valid, candidate)).first().asDict()
         if calibrated["log_loss"] < raw["log_loss"]:
             calibrator = candidate
-    best = max(len(first.stages[-1].trees), 1)
-    model = _fit(parts["full"], features, weight, cfg, best, validate=False)
-    return Trained(tuple(features), model, calibrator, raw, calibrated, calibrator is not None, weight)
+    model = _fit(_stored_vectors(parts["full"], features, weight, "train-full"), cfg, best)
+    path = new_path(spark, "model")
+    model.write().save(path)
+    return Trained(tuple(features), model, calibrator, raw, calibrated, calibrator is not None, weight, tuple(losses), best, path)
 
 
 def predict(trained: Trained, rows: DataFrame) -> DataFrame:
-    return _calibrate(_with_probability(trained.model, rows), trained.calibrator)
-
-
-def importances(spark, trained: Trained) -> DataFrame:
-    """Gain per feature and the number of splits over all trees (one row per feature)."""
-    gbt = trained.model.stages[-1]
-    gain = gbt.featureImportances.toArray()
-    splits = [0] * len(trained.features)
-    for tree in gbt.trees:
-        for line in tree.toDebugString.splitlines():
-            if "If (feature" in line:
-                splits[int(line.split("If (feature ")[1].split(" ")[0])] += 1
-    rows = [(f, float(gain[i]), splits[i]) for i, f in enumerate(trained.features)]
-    return spark.createDataFrame(rows, "feature string, importance_gain double, importance_split long")
+    return _calibrate(_with_probability(trained.model, vectors(rows, list(trained.features))), trained.calibrator)
+
+
+def rounds(spark: SparkSession, trained: Trained) -> DataFrame:
+    """One row per round that was tried: its validation log loss, and which round the model was cut at."""
+    rows = [(i + 1, loss, i + 1 == trained.best_round) for i, loss in enumerate(trained.losses)]
+    return spark.createDataFrame(rows, "round long, log_loss double, is_best boolean")
+
+
+def importances(spark: SparkSession, trained: Trained) -> DataFrame:
+    """Gain and number of splits of every feature, from the nodes of the written model.
+
+    A split's gain is its impurity decrease times the weight of the rows that reach it,
+    summed over all trees.
+    """
+    nodes = spark.read.parquet(f"{trained.path}/data").select("nodeData.*").where("leftChild >= 0")
+    splits = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(
+        F.sum(F.col("gain") * F.element_at("impurityStats", 1)).alias("gain"), F.count(F.lit(1)).alias("n"))
+    names = spark.createDataFrame(list(enumerate(trained.features)), "i int, feature string")
+    return names.join(splits, "i", "left").select(
+        "feature", F.coalesce("gain", F.lit(0.0)).alias("importance_gain"), F.coalesce("n", F.lit(0)).alias("importance_split"))

@@ -109,6 +109,12 @@ def _(spark, sf):
     return V.score_outputs(rows).select("msno", "target_month", "churn_probability_raw", "churn_probability", "risk_percentile", "risk_decile", "risk_band")
 
 
+@query("training_rounds", digits=6)
+def _(spark, sf):
+    """Validation loss of every round that was tried before patience ran out."""
+    return T.rounds(spark, trained(spark, sf))
+
+
 @query("isotonic_calibration")
 def _(spark, sf):
     t = trained(spark, sf)
@@ -188,6 +194,21 @@ def _(spark, sf):
     return V.feature_waterfall(importance_proxy(spark, sf), scored(spark, sf))
 
 
+def _gains(spark, sf) -> DataFrame:
+    return V.feature_waterfall(T.importances(spark, trained(spark, sf)), scored(spark, sf))
+
+
+@query("feature_waterfall_gains")
+def _(spark, sf):
+    """The waterfall on the gains of the trained model's splits."""
+    return _gains(spark, sf)
+
+
+@query("waterfall_running_gains")
+def _(spark, sf):
+    return W.running_waterfall(_gains(spark, sf))
+
+
 @query("exec_value_risk_matrix")
 def _(spark, sf):
     return V.executive_matrix(scored(spark, sf))
