@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from renewlake import params as P
 from renewlake.functions.cols import count_if
-from renewlake.operators.snapshot import last_row
+from renewlake.functions.lastrow import last_flag, last_row
 
 
 def transaction_kpi(tx: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def tx_profile(tx: DataFrame) -> DataFrame:
     """Flags of each member's last transaction."""
     return tx.groupBy("msno").agg(last_row(tx, "is_cancel", "is_auto_renew").alias("_last")).select(
         "msno",
-        F.col("_last.is_cancel").cast("double").alias("is_cancel"),
-        F.col("_last.is_auto_renew").cast("double").alias("is_auto_renew"),
+        last_flag("_last", 0, 2).cast("double").alias("is_cancel"),
+        last_flag("_last", 1, 2).cast("double").alias("is_auto_renew"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from renewlake import params as P
 from renewlake.functions.cols import month_start, upper_median
-from renewlake.operators.snapshot import last_row
+from renewlake.functions.lastrow import last_expiry, last_flag, last_row
 
 
 def half_even(c, digits: int):
@@ -79,7 +79,7 @@ def month_options_kpi(kpi_tables: list[DataFrame], snapshot: DataFrame, tx: Data
         months = t.select(month_start("event_date").alias("m"))
         kpi = months if kpi is None else kpi.unionByName(months)
     kpi = kpi.distinct()
-    last = tx.groupBy("msno").agg(last_row(tx).alias("_last")).select(F.col("_last.membership_expire_date").alias("e"))
+    last = tx.groupBy("msno").agg(last_row(tx).alias("_last")).select(last_expiry("_last").alias("e"))
     fallback = (
         snapshot.select(F.col("snapshot_month").alias("m"))
         .unionByName(last.select(month_start("e").alias("m")))
@@ -100,9 +100,9 @@ def _last_in_month(tx: DataFrame) -> DataFrame:
     ).select(
         "msno",
         "month_start",
-        F.col("_last.membership_expire_date").alias("last_expire_date"),
-        F.col("_last.is_cancel").alias("last_is_cancel"),
-        F.col("_last.is_auto_renew").alias("last_is_auto_renew"),
+        last_expiry("_last").alias("last_expire_date"),
+        last_flag("_last", 0, 2).alias("last_is_cancel"),
+        last_flag("_last", 1, 2).alias("last_is_auto_renew"),
     )
 
 

@@ -10,20 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from renewlake.functions import buckets as B
 from renewlake.functions.cols import clip, month_start, safe_divide
+from renewlake.functions.lastrow import last_expiry, last_flag, last_row
 
 PLAYS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 
 
-def last_row(df: DataFrame, *payload: str) -> Column:
-    """Aggregate: the last transaction by payment date, expiry and row id, as one struct.
-
-    One maximum carries all wanted columns, so the buffer holds a single row; without a row
-    id the payload itself settles ties.
-    """
-    names = ["transaction_date", "membership_expire_date"] + (["rid"] if "rid" in df.columns else [])
-    return F.max(F.struct(*names, *[c for c in payload if c not in names]))
-
-
 def in_window(df: DataFrame, c: str, start=None, end=None) -> DataFrame:
     if start is not None:
         df = df.where(F.col(c) >= F.lit(start).cast("date"))
@@ -53,9 +44,9 @@ def tx_last(tx: DataFrame, start=None, end=None) -> DataFrame:
         .select(
             "msno",
             "snapshot_month",
-            F.col("_last.membership_expire_date").alias("last_expire_date"),
-            F.col("_last.is_cancel").alias("churned"),
-            F.col("_last.is_auto_renew").alias("is_auto_renew"),
+            last_expiry("_last").alias("last_expire_date"),
+            last_flag("_last", 0, 2).alias("churned"),
+            last_flag("_last", 1, 2).alias("is_auto_renew"),
             "tx_count",
             "avg_price_per_day",
             "first_tx_date",
@@ -80,9 +71,9 @@ def tx_features_history(tx: DataFrame, start=None, end=None) -> DataFrame:
         .select(
             "msno",
             "snapshot_month",
-            F.col("_latest.membership_expire_date").alias("last_expire_date"),
-            F.col("_latest.is_cancel").alias("churned"),
-            F.col("_latest.is_auto_renew").alias("is_auto_renew"),
+            last_expiry("_latest").alias("last_expire_date"),
+            last_flag("_latest", 0, 2).alias("churned"),
+            last_flag("_latest", 1, 2).alias("is_auto_renew"),
             "tx_count",
             "avg_price_per_day",
             "first_tx_date",
