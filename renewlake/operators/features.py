@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from renewlake import params as P
 from renewlake.functions import buckets as B
 from renewlake.functions.cols import clip, flag, month_to_date, parse_date_compact, safe_divide, shift_month, yyyymm, yyyymmdd
+from renewlake.operators.snapshot import members_dedup
 
 LOG_COLUMNS = ("num_25", "num_50", "num_75", "num_985", "num_100", "num_unq", "total_secs")
 PLAY_SUMS = ("num_25_sum", "num_50_sum", "num_75_sum", "num_985_sum", "num_100_sum")
@@ -258,7 +261,7 @@ def add_layers(df: DataFrame) -> DataFrame:
 
 def raw_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> DataFrame:
     agg = log_month_agg(logs)
-    return join_log_features(labels, agg).join(encode_members(members), "msno", "left")
+    return join_log_features(labels, agg).join(encode_members(members_dedup(members)), "msno", "left")
 
 
 def feature_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> DataFrame:
@@ -267,21 +270,40 @@ def feature_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> Dat
 
 # --- checks, alignment, splits --------------------------------------------------------
 
-def snapshot_violations(frame: DataFrame) -> DataFrame:
+def _violations() -> list[Column]:
     count = lambda c: F.coalesce(F.sum(flag(c)), F.lit(0)).cast("long")
-    return frame.agg(
+    return [
         count((F.col("last_log_date") > 0) & (F.col("count") > 0) & (F.col("days_since_last_listen") < 0))
         .alias("negative_days_since_last_listen"),
         count((F.col("days_to_expire") < 0) | (F.col("days_to_expire") > 31)).alias("days_to_expire_out_of_range"),
         count((F.col("registration_init_time") > 0) & (F.col("membership_age_days") < 0)).alias("negative_membership_age"),
-    )
+    ]
+
+
+def snapshot_violations(frame: DataFrame) -> DataFrame:
+    return frame.agg(*_violations())
 
 
-def validate(frame: DataFrame) -> None:
-    """Raise when any snapshot rule is broken (one row of counts comes back)."""
-    broken = {k: v for k, v in snapshot_violations(frame).first().asDict().items() if v}
-    if broken:
-        raise ValueError(f"feature frame breaks snapshot rules: {broken}")
+def checked_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The feature frame, and a check to call after it was written: it raises when the frame breaks a rule.
+
+    The counts are gathered while the frame is written, so there is no second scan. Labels
+    hold a row for each member and month; with as many rows in the frame no join has
+    multiplied or lost any, so its keys are unique too.
+    """
+    expected, built = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    frame = feature_frame(labels.observe(expected, rows), logs, members).observe(built, rows, *_violations())
+
+    def check() -> None:
+        counts = built.get
+        broken = {k: v for k, v in counts.items() if v and k != "rows"}
+        if broken:
+            raise ValueError(f"feature frame breaks snapshot rules: {broken}")
+        if counts["rows"] != expected.get["rows"]:
+            raise ValueError(f"feature frame has {counts['rows']} rows for {expected.get['rows']} labels")
+
+    return frame, check
 
 
 def duplicate_members(frame: DataFrame, keys: tuple[str, ...] = ("msno",)) -> DataFrame:

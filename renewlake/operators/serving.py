@@ -180,20 +180,20 @@ def snapshot_fallback(snapshot_kpis: DataFrame, fact_metrics: DataFrame, fact_su
 
 
 def stable_sample(df: DataFrame, limit: int | None) -> DataFrame:
-    """The `limit` members with the smallest key hash; no limit keeps everyone.
+    """The `limit` members with the smallest MD5 of their key, the same in every engine; no limit keeps everyone.
 
-    A count per hash range (4096 rows) finds the range in which the limit is reached, and
+    A count per range of hashes (4096 rows) finds the range in which the limit is reached, and
     rows beyond it are filtered out. The sort then sees about `limit` rows, not `limit` rows
     of every input partition.
     """
     if not limit or limit <= 0:
         return df
-    key = F.xxhash64("msno")
-    bucket = F.shiftright(key, 52)
+    key = F.md5("msno")
+    bucket = key.substr(1, 3)
     counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     reached = counts.withColumn("c", F.sum("n").over(so_far)).where(F.col("c") >= limit)
-    cutoff = F.coalesce(reached.agg(F.min("b").alias("b")).scalar(), F.lit(2**11))
+    cutoff = F.coalesce(reached.agg(F.min("b").alias("b")).scalar(), F.lit("fff"))
     return df.where(bucket <= cutoff).orderBy(key, "msno").limit(limit)
 
 

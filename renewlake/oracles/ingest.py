@@ -92,3 +92,4 @@ oracle("stream_daily_upsert", """SELECT date AS event_date, count(DISTINCT msno)
   round(avg(num_unq), 4) AS avg_unique_songs FROM d_elogs GROUP BY ALL""")
 oracle("replay_reset", """SELECT * FROM (VALUES ('fact', 0), ('kpi_activity', 0), ('kpi_churn_risk', 0)) v("table", rows)
   UNION ALL SELECT 'kpi_revenue', (SELECT count(*) FROM s_kpi_rev) UNION ALL SELECT 'member_month', (SELECT count(*) FROM s_snap WHERE source = 'history_precompute')""")
+oracle("stable_sample", "SELECT msno FROM (SELECT DISTINCT msno FROM s_snap) ORDER BY md5(msno), msno LIMIT 500")

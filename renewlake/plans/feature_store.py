@@ -17,7 +17,7 @@ def _labels_stage(spark, sf):
 
 @stage("features", partition_by=("target_month",))
 def _features_stage(spark, sf):
-    return X.feature_frame(month_labels(spark, sf), fx.user_logs(spark, sf), fx.members(spark, sf))
+    return X.checked_frame(month_labels(spark, sf), fx.user_logs(spark, sf), fx.members(spark, sf))
 
 
 def month_labels(spark, sf) -> DataFrame:

@@ -21,6 +21,7 @@ _DONE: dict[str, tuple[str, T.StructType]] = {}
 
 
 def stage(name: str, partition_by: tuple[str, ...] = ()):
+    """Register a builder. It returns the table, or the table and a check to run once it is written."""
     def register(build):
         _BUILDERS[name] = (build, partition_by)
         return build
@@ -38,6 +39,7 @@ def read_stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/stages/{input_key(spark, sf_dir)}/{name}"
     if path not in _DONE:
         df = build(spark, sf_dir)
+        df, check = df if isinstance(df, tuple) else (df, None)
         if partition_by:
             # Gathers the rows of a month into few files, yet splits a month that is too
             # large for one task (adaptive rebalance).
@@ -46,6 +48,8 @@ def read_stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        if check:
+            check()  # raises before anything reads the stage
         order = [f for f in df.schema.fields if f.name not in partition_by]
         order += [df.schema[c] for c in partition_by]
         _DONE[path] = (path, T.StructType(order))
