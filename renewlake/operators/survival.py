@@ -40,7 +40,8 @@ def km_curve(counts: DataFrame, keys: Sequence[str], full_origin: bool = False)
     survival = F.when(F.min("_stay").over(so_far) <= 0, F.lit(0.0)).otherwise(
         F.exp(F.sum(F.when(F.col("_stay") > 0, F.log("_stay")).otherwise(F.lit(0.0))).over(so_far))
     )
-    points = points.withColumn("survival_prob", F.round(survival, 6))
+    # Products that lie on a half come out an ulp to either side of it; the nudge takes all of them up.
+    points = points.withColumn("survival_prob", F.round(survival + 1e-10, 6))
     origin = points.groupBy(*keys).agg(F.max("at_risk").alias("at_risk")).select(
         *keys,
         F.lit(0).alias("day"),

@@ -34,7 +34,7 @@ cte("s_km1_days", """SELECT target_month, month_label, dimension, dimension_valu
   UNPIVOT (SELECT target_month, month_label, survival_days_proxy, is_churn, age_segment, gender_profile, txn_freq_bucket, skip_ratio_bucket FROM s_tab1)
   ON age_segment, gender_profile, txn_freq_bucket, skip_ratio_bucket INTO NAME dimension VALUE dimension_value) GROUP BY ALL""")
 _K = "target_month, month_label, dimension, dimension_value"
-cte("s_km1", f"""SELECT {_K}, CAST(day AS INTEGER) AS day, ROUND(product(1 - events / at_risk) OVER (PARTITION BY {_K} ORDER BY day), 6) AS survival_prob, at_risk, events
+cte("s_km1", f"""SELECT {_K}, CAST(day AS INTEGER) AS day, ROUND(product(1 - events / at_risk) OVER (PARTITION BY {_K} ORDER BY day) + 1e-10, 6) AS survival_prob, at_risk, events
   FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY {_K} ORDER BY day DESC) AS BIGINT) AS at_risk FROM s_km1_days)
   UNION ALL SELECT {_K}, 0, 1.0, CAST(sum(n) AS BIGINT), 0 FROM s_km1_days GROUP BY ALL""")
 oracle("tab1_km_artifact", f"SELECT {_K}, day, round(survival_prob, 6) AS survival_prob, at_risk, events FROM s_km1")
@@ -171,10 +171,8 @@ oracle("pulse_overlay", f"SELECT {DAILY_OUT} FROM s_pulse")
 oracle("pulse_merge", """SELECT event_date, round(coalesce(total_revenue, 0.0), 4) AS total_revenue, coalesce(total_transactions, 0) AS total_transactions, coalesce(high_risk_users, 0) AS high_risk_users,
   round(coalesce(avg_risk_score, 0.0), 4) AS avg_risk_score, coalesce(active_users, 0) AS active_users, round(coalesce(total_listening_secs, 0.0), 4) AS total_listening_secs
   FROM s_kpi_rev FULL OUTER JOIN s_kpi_risk USING (event_date) FULL OUTER JOIN s_kpi_act USING (event_date)""")
-oracle("km_pivot", """SELECT target_month, day, round(min(survival_prob * 100) FILTER (dimension_value = 'Male'), 4) AS "Male", round(min(survival_prob * 100) FILTER (dimension_value = 'Female'), 4) AS "Female",
-  round(min(survival_prob * 100) FILTER (dimension_value = 'Unknown'), 4) AS "Unknown" FROM s_km1 WHERE dimension = 'gender_profile' GROUP BY 1, 2""")
-oracle("km_pivot_all", "SELECT target_month, dimension, day, " + ", ".join(
-    f"""round(min(survival_prob * 100) FILTER (lower(dimension_value) = '{v.lower()}'), 3) AS "{v}\""""
+oracle("km_pivot", "SELECT target_month, dimension, day, " + ", ".join(
+    f"""round(min(survival_prob * 100) FILTER (lower(dimension_value) = '{v.lower()}'), 4) AS "{v}\""""
     for v in ("Unknown", "15-20", "21-25", "26-35", "36-50", "51-65", "Male", "Female", "low", "medium", "high",
               "low_skip", "mid_skip", "high_skip")) + " FROM s_km1 GROUP BY 1, 2, 3")
 oracle("decay_pivot", """SELECT snapshot_month, CAST(m AS INTEGER) AS month_num, 'T+' || m AS timeline, """ + ", ".join(

@@ -107,7 +107,7 @@ oracle("km_input", "SELECT * FROM s_km_input")
 
 
 def km(source: str, keys: str, day: str, at_risk0: str, events0: str) -> str:
-    return f"""SELECT {keys}, CAST({day} AS INTEGER) AS day, round(ROUND(product(1 - events / at_risk) OVER (PARTITION BY {keys} ORDER BY {day}), 6), 6) AS survival_prob,
+    return f"""SELECT {keys}, CAST({day} AS INTEGER) AS day, round(ROUND(product(1 - events / at_risk) OVER (PARTITION BY {keys} ORDER BY {day}) + 1e-10, 6), 6) AS survival_prob,
   at_risk, events FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY {keys} ORDER BY {day} DESC) AS BIGINT) AS at_risk FROM {source})
 UNION ALL SELECT {keys}, 0, 1.0, {at_risk0}, {events0} FROM {source} GROUP BY {keys}"""
 
@@ -140,13 +140,7 @@ oracle("risk_series", f"SELECT event_date, high_risk_users, round(avg_risk_score
 oracle("activity_series", f"""SELECT event_date, active_users, round(total_listening_secs, 4) AS total_listening_secs FROM s_kpi_act""")
 oracle("as_of", """SELECT strftime(max(d) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS as_of FROM (
   SELECT max(transaction_date) AS d FROM d_tx UNION ALL SELECT max(date) FROM d_logs)""")
-oracle("snapshot_fallback", """SELECT month_start, CASE WHEN s.n > 0 THEN s.n ELSE f.total_expiring_users END AS total_expiring_users,
-  round(CASE WHEN s.n > 0 THEN s.c ELSE f.historical_churn_rate END, 4) AS historical_churn_rate,
-  CASE WHEN s.m > 0 THEN s.m ELSE coalesce(f.median_survival_days, 0.0) END AS median_survival_days,
-  round(CASE WHEN s.n > 0 THEN s.a ELSE f.auto_renew_rate END, 4) AS auto_renew_rate
-  FROM s_dash_metrics f FULL OUTER JOIN (SELECT snapshot_month AS month_start, total_expiring_users AS n, historical_churn_rate AS c,
-    overall_median_survival AS m, auto_renew_rate AS a FROM s_tab1_kpis WHERE source = 'realtime_2017_plus') s USING (month_start)""")
-oracle("snapshot_fallback_whole", " UNION ALL ".join(f"""SELECT month_start, CASE WHEN s.n > 0 THEN s.n ELSE f.total_expiring_users END AS total_expiring_users,
+oracle("snapshot_fallback", " UNION ALL ".join(f"""SELECT month_start, CASE WHEN s.n > 0 THEN s.n ELSE f.total_expiring_users END AS total_expiring_users,
   round(CASE WHEN s.n > 0 THEN s.c ELSE f.historical_churn_rate END, 4) AS historical_churn_rate,
   CASE WHEN s.m > 0 THEN s.m ELSE coalesce(f.median_survival_days, 0.0) END AS median_survival_days,
   round(CASE WHEN s.n > 0 THEN s.a ELSE f.auto_renew_rate END, 4) AS auto_renew_rate, '{given}' AS given

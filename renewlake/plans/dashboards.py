@@ -99,16 +99,7 @@ def _(spark, sf):
 
 @query("snapshot_fallback")
 def _(spark, sf):
-    # Only the realtime part of the snapshot: earlier months fall back to the facts.
-    live = tb.snapshot(spark, sf).where("source = 'realtime_2017_plus'")
-    tx = fx.transactions(spark, sf)
-    return Q.snapshot_fallback(
-        Q.tab1_kpis(live), Q.dashboard_metrics(tx), Q.dashboard_survival(tx, fx.members(spark, sf)))
-
-
-@query("snapshot_fallback_whole")
-def _(spark, sf):
-    # Once with the whole snapshot, once with its realtime part alone.
+    """Once with the whole snapshot, once with its realtime part alone: there earlier months fall back to the facts."""
     snapshot, tx = tb.snapshot(spark, sf), fx.transactions(spark, sf)
     facts = Q.dashboard_metrics(tx), Q.dashboard_survival(tx, fx.members(spark, sf))
     live = snapshot.where("source = 'realtime_2017_plus'")

@@ -278,14 +278,7 @@ def _(spark, sf):
 
 @query("km_pivot")
 def _(spark, sf):
-    curve = D.km_artifact(tab1(spark, sf)).where("dimension = 'gender_profile'")
-    return W.km_pivot(curve, ["target_month"], ["Male", "Female", "Unknown"])
-
-
-@query("km_pivot_all", digits=3)
-def _(spark, sf):
-    # km_pivot shows one dimension; here all are rows, and the labels of all are columns. The
-    # curve's own sixth digit can differ between engines, so one digit less than there.
+    """All four dimensions as rows, with the labels of all as columns."""
     labels = dict.fromkeys((*P.AGE_LABELS, *P.GENDER_LABELS, "low", "medium", "high", "low_skip", "mid_skip", "high_skip"))
     value = F.when(F.lower("dimension_value") == "unknown", "Unknown").otherwise(F.col("dimension_value"))
     curve = D.km_artifact(tab1(spark, sf)).withColumn("dimension_value", value)

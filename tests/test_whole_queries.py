@@ -4,7 +4,7 @@ import pytest
 from check_twins import compare, duck
 
 
-@pytest.mark.parametrize("key", ["km_pivot_all", "snapshot_fallback_whole"])
+@pytest.mark.parametrize("key", ["km_pivot", "snapshot_fallback"])
 def test_twin(spark, sf, key):
     import __spark_entry__ as entry
 
@@ -15,7 +15,7 @@ def test_twin(spark, sf, key):
 def test_all_dimensions(spark, sf):
     import __spark_entry__ as entry
 
-    found = {r.dimension for r in entry.queries()["km_pivot_all"](spark, sf).select("dimension").distinct().collect()}
+    found = {r.dimension for r in entry.queries()["km_pivot"](spark, sf).select("dimension").distinct().collect()}
     assert found == {"age_segment", "gender_profile", "txn_freq_bucket", "skip_ratio_bucket"}
 
 
@@ -24,6 +24,6 @@ def test_history_part_of_the_snapshot(spark, sf):
 
     queries = entry.queries()
     got = {r.month_start: r.total_expiring_users
-           for r in queries["snapshot_fallback_whole"](spark, sf).where("given = 'whole'").collect()}
+           for r in queries["snapshot_fallback"](spark, sf).where("given = 'whole'").collect()}
     want = {r.snapshot_month: r.total_expiring_users for r in queries["tab1_kpis"](spark, sf).collect()}
     assert want and {m: got[m] for m in want} == want
