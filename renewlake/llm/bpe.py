@@ -17,7 +17,7 @@ from renewlake.llm.common import prepared, texts_of
 # The split pattern of this tokenizer family (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 100_000
 WIDE = 48  # bytes of a fragment beyond which merging goes through a heap
 FAST_END = 0x250  # code points below are split by the quicker standard pattern
 NO_MERGE = np.iinfo(np.int32).max

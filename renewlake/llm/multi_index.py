@@ -66,6 +66,13 @@ class MultiIndex:
         met = [int((d1[i][:, None] + d2[i][None, :] <= own[i]).sum()) for i in range(len(probe))]
         self.cells = max(1, int(np.quantile(met, recall, method="higher")))
 
+    @classmethod
+    def of(cls, parts: dict) -> MultiIndex:
+        """The index that vars() took apart: a broadcast names its classes, and workers may lack the package."""
+        index = cls.__new__(cls)
+        vars(index).update(parts)
+        return index
+
     def tables(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(v[:, : self.half], self.one), _distances(v[:, self.half:], self.two)
 
@@ -96,7 +103,7 @@ def _place(index, kind: str, dim: int):
     """Home cell, radius, and the rows of the grid that a traversal visits."""
 
     def run(batches):
-        grid = index.value
+        grid = MultiIndex.of(index.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,7 +134,7 @@ def _verify(index, kind: str, dim: int, threshold: float):
     """Links of one chunk of queries with one block of a grid row's members: counts, and a spanning label."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        grid = index.value
+        grid = MultiIndex.of(index.value)
         c1 = int(block["row"].iloc[0])
         asks = block["asks"].to_numpy()
         members, queries = block[~asks], block[asks]
@@ -220,7 +227,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = 0.9, recall: flo
 def _links_of(spark, classes: DataFrame, kind: str, dim: int, threshold: float, recall: float, seed: int) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("raw", F.lit(seed)), "rep").limit(SAMPLE).select("raw").collect()
     units = _decoded([r["raw"] for r in sample], kind, dim)
-    index = spark.sparkContext.broadcast(MultiIndex(units, classes.count(), threshold, recall, seed))
+    index = spark.sparkContext.broadcast(vars(MultiIndex(units, classes.count(), threshold, recall, seed)))
     placed = stored(classes.mapInArrow(
         _place(index, kind, dim),
         "rep long, copies long, raw binary, c1 int, reach double, visits array<int>"), "placed")

@@ -36,7 +36,15 @@ class Model:
     temperature: float
 
 
-RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "9"))
+    def plain(self) -> dict:
+        """The model as builtin and numpy values: a broadcast names its classes, and workers may lack the package."""
+        return {**vars(self), "settings": vars(self.settings)}
+
+
+LETTERS, DIGITS, REPEATS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S)
+CACHED_WORDS = 100_000
+BLOCK_CHARS = 200_000  # of the texts that are split into words at once; a longer text goes alone
+BLOCK_WORDS = 32_768  # words whose vectors are in memory at once
 
 
 def word_shape(word: str) -> str:
@@ -45,9 +53,20 @@ def word_shape(word: str) -> str:
         s = found[0]
         return "a" if s.islower() else "A" if s.isupper() else "m" if s[1:].islower() else "x"
 
-    shape = RUNS[0][0].sub(letters, word)
-    shape = RUNS[1][0].sub("9", shape)
-    return re.sub(r"(.)\1+", r"\1", shape[:64])
+    return REPEATS.sub(r"\1", DIGITS.sub("9", LETTERS.sub(letters, word)))
+
+
+def blocks_of(texts: list):
+    """(place of the first, texts) of runs of texts that have a bounded number of characters, or are one text."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > first and size + n > BLOCK_CHARS:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 class Indexer:
@@ -72,7 +91,7 @@ class Indexer:
     def buckets(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word and shape buckets of all words of the texts, and the number of words of each."""
         known = self.cache
-        if len(known) > 400_000:
+        if len(known) > CACHED_WORDS:
             known.clear()
         parts, counts = [], []
         for text in texts:
@@ -95,20 +114,22 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
         indexer = Indexer(s)
         total = np.zeros((s.buckets, s.size))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 100):
-                own, shape, counts = indexer.buckets(texts[at: at + 100])
-                if not len(own):
-                    continue
-                vectors = indexer.vectors(own, shape)
+            for _, texts in blocks_of(batch.column(0).to_pylist()):
+                own, shape, counts = indexer.buckets(texts)
                 doc = np.repeat(np.arange(len(counts)), counts)
-                around = np.zeros_like(vectors)
-                for step in range(1, min(s.window, len(own) - 1) + 1):
-                    same = (doc[step:] == doc[:-step])[:, None]
-                    around[step:] += vectors[:-step] * same
-                    around[:-step] += vectors[step:] * same
-                for j in range(s.size):
-                    total[:, j] += np.bincount(own, around[:, j], s.buckets)
+                for at in range(0, len(own), BLOCK_WORDS):
+                    end = min(at + BLOCK_WORDS, len(own))
+                    # With the neighbours on either side, whose own sums belong to other blocks.
+                    near = slice(max(0, at - s.window), min(len(own), end + s.window))
+                    vectors, docs_of = indexer.vectors(own[near], shape[near]), doc[near]
+                    around = np.zeros_like(vectors)
+                    for step in range(1, min(s.window, len(vectors) - 1) + 1):
+                        same = (docs_of[step:] == docs_of[:-step])[:, None]
+                        around[step:] += vectors[:-step] * same
+                        around[:-step] += vectors[step:] * same
+                    around = around[at - near.start: end - near.start]
+                    for j in range(s.size):
+                        total[:, j] += np.bincount(own[at:end], around[:, j], s.buckets)
         used = np.flatnonzero(total.any(1))
         if len(used):
             yield pa.RecordBatch.from_arrays(
@@ -130,17 +151,21 @@ def pooled(indexer: Indexer, contexts: np.ndarray, texts: list) -> np.ndarray:
     """Mean and spread of the context and index vectors of each text's words, and its length."""
     width = 2 * indexer.s.size
     out = np.zeros((len(texts), 2 * width + 1), np.float64)
-    for at in range(0, len(texts), 100):
-        own, shape, counts = indexer.buckets(texts[at: at + 100])
+    for first, block in blocks_of(texts):
+        own, shape, counts = indexer.buckets(block)
         full = np.flatnonzero(counts)
-        if not len(full):
-            continue
-        vectors = np.concatenate([contexts[own], indexer.vectors(own, shape)], 1)
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
+        doc = np.repeat(np.arange(len(full)), counts[full])
+        sums = np.zeros((2, len(full), width))
+        for at in range(0, len(own), BLOCK_WORDS):
+            part = slice(at, at + BLOCK_WORDS)
+            vectors = np.concatenate([contexts[own[part]], indexer.vectors(own[part], shape[part])], 1)
+            mine, starts = np.unique(doc[part], return_index=True)
+            sums[0][mine] += np.add.reduceat(vectors, starts, axis=0, dtype=np.float64)
+            vectors *= vectors
+            sums[1][mine] += np.add.reduceat(vectors, starts, axis=0, dtype=np.float64)
         n = counts[full][:, None]
-        mean = np.add.reduceat(vectors, starts, axis=0, dtype=np.float64) / n
-        square = np.add.reduceat(vectors * vectors, starts, axis=0, dtype=np.float64) / n
-        out[at + full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean ** 2, 0)), np.log1p(n)], 1)
+        mean, square = sums / n
+        out[first + full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean ** 2, 0)), np.log1p(n)], 1)
     return out
 
 
@@ -203,6 +228,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, settings: S
 
     rows = labelled_texts(texts, labels, label_col, train, settings.max_labelled).mapInArrow(
         run, "doc_id long, y int, x array<double>").toPandas()
+    sent.unpersist()
     if not len(rows):
         zero = (np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.zeros(1))
         return Model(settings, contexts, np.zeros(width), np.ones(width), zero, 1.0)
@@ -232,11 +258,11 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     but for those named in `carry`, which come back in `doc`. Without labelled rows every
     score is 0.5.
     """
-    sent = prepared(docs.sparkSession).sparkContext.broadcast(model)
+    sent = prepared(docs.sparkSession).sparkContext.broadcast(model.plain())
     rows = texts_of(docs, id_col, text_col, carry)
 
     def run(batches):
-        m = sent.value
+        m = Model(**{**sent.value, "settings": Settings(**sent.value["settings"])})
         indexer = Indexer(m.settings)
         for batch in batches:
             if batch.num_rows:

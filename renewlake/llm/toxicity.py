@@ -16,6 +16,7 @@ from renewlake.llm.words import RunHashes, WordHashes
 
 PREFIXES = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def token_scores(model: Model, cache: dict, text: str) -> tuple[list, list, int]
         word = found[0].lower()
         score = cache.get(word)
         if score is None:
-            if len(cache) > 400_000:
+            if len(cache) > CACHED_WORDS:
                 cache.clear()
             known = [model.scores[f] for f in _features(word) if f in model.scores]
             score = cache[word] = max(known)[1] if known else 0.0
@@ -265,10 +266,10 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     repeated rows score alike; null ids stay; an empty table gives an empty table; further
     columns are ignored. Without labels of both kinds every text gets the share of label 1.
     """
-    sent = prepared(docs.sparkSession).sparkContext.broadcast(model)
+    sent = prepared(docs.sparkSession).sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m, cache = sent.value, {}
+        m, cache = Model(**sent.value), {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()),
                                    ("log10_p", pa.float64())]))
         for batch in batches:
