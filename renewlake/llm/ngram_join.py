@@ -273,10 +273,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     reps = known.join(firsts, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     reps = reps.select(F.xxhash64("doc_id", "text_hash").alias("rep"), "doc_id", "text_hash", "n", "bits", "prefix")
 
-    # Tokens that two or more representatives share. Counting n, both sides read one exchange.
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("n").alias("df")).where("df > 1")
-    live = stored(tokens.join(often, "token"), "shared-tokens")
+    # Tokens that two or more representatives share.
+    by_token = Window.partitionBy("token")
+    live = stored(reps.select("rep", "n", F.explode("prefix").alias("token")).withColumn(
+        "df", F.count(F.lit(1)).over(by_token)).where("df > 1"), "shared-tokens")
     names = stored(reps.select("rep", "doc_id", "text_hash", "bits"), "representatives")
     maps = names.select("rep", "bits")
 
@@ -295,9 +295,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     # Groups: each document asks the leader that most of its tokens name, if the bound lets them link.
     # The original of a group of copies has the tokens of all of them and few of its own.
     typical = F.sum("df").over(Window.partitionBy("rep")) / F.col("n")  # at most one prefix to a window
-    leaders = live.withColumn("typical", typical).groupBy("token").agg(
-        F.max(F.struct("typical", "rep", "n")).alias("leader"))
-    named = (live.join(leaders, "token").where("rep != leader.rep")
+    named = (live.withColumn("typical", typical)
+             .withColumn("leader", F.max(F.struct("typical", "rep", "n")).over(by_token)).where("rep != leader.rep")
              .groupBy("rep", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
              .where(_enough(percent, F.col("leader.n"), F.col("leader.n"))))
     chosen = stored(named.groupBy("rep", "n").agg(F.max(F.struct("c", "leader")).alias("best")).select(
@@ -317,18 +316,18 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     loads = placed.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     placed = stored(placed.join(loads, "grp").select(
         "rep", "n", "grp", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int").alias("blk")), "groups")
-    live = live.drop("df").join(placed.select("rep", "grp", "blk"), "rep")
-    spread = live.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi")
-    live = stored(live.join(spread.select("token"), "token", "left_semi"), "open-tokens")
+    # Both sides of the join below read this exchange, so both name all columns and neither adds a filter.
+    live = live.drop("df").join(placed.select("rep", "grp", "blk"), "rep").where(
+        "token is not null and rep is not null and n is not null and grp is not null and blk is not null"
+    ).repartition("token")
     sizes = placed.groupBy("grp", "blk").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), (F.count(F.lit(1)) == 1).alias("single"))
-    band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    # A pair's sizes differ by at most the ratio of two neighbouring bands.
-    matrix = live.select("token", "grp", "blk", band.alias("band")).distinct()
-    asked = (live.select("token", "rep", "n", F.col("grp").alias("own"),
-                         F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-             .join(matrix, ["token", "band"]).where("own < grp")
-             .groupBy("rep", "n", "grp", "blk").agg(F.count_distinct("token").alias("c"))
+    matrix = live.groupBy("token", "grp", "blk").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("rep").alias("held"))
+    asked = (live.select("token", "rep", "n", F.col("grp").alias("own"), F.col("blk").alias("own_blk"))
+             .join(matrix, "token").where("own < grp and held > 0")
+             .where((percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n")))
+             .groupBy("rep", "n", "grp", "blk").agg(F.count("own_blk").alias("c"))
              .join(sizes, ["grp", "blk"])
              .where(_enough(percent, F.col("least_n"), F.col("most_n")))
              .select("rep", "n", "grp", "blk", "least_n", "single"))
