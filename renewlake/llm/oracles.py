@@ -100,3 +100,60 @@ WITH texts AS (
 )
 SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
 """
+
+ORACLES["op7_ngram_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w
+  FROM documents
+), words AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM worded
+), runs AS (
+  SELECT doc_id, n, pos, word, lead(word) OVER following AS second, lead(word, 2) OVER following AS third
+  FROM words WINDOW following AS (PARTITION BY doc_id ORDER BY pos)
+), sets AS (
+  SELECT DISTINCT doc_id, concat_ws(' ', word, second, third) AS shingle FROM runs
+  WHERE third IS NOT NULL OR (n < 3 AND pos = 1)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT documents.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(documents.doc_id, least.b) AS component_id
+FROM documents LEFT JOIN sizes ON sizes.doc_id = documents.doc_id LEFT JOIN least ON least.a = documents.doc_id
+"""
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH worded AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), words AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM worded
+), windows AS (
+  SELECT doc_id, pos, word, CASE WHEN pos + 49 <= n THEN md5(string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS run
+  FROM words
+), firsts AS (
+  SELECT run, min(doc_id) AS holder FROM windows WHERE run IS NOT NULL GROUP BY run
+), judged AS (
+  SELECT windows.doc_id, pos, word, coalesce(max(holder < windows.doc_id) OVER (
+    PARTITION BY windows.doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), FALSE) AS gone
+  FROM windows LEFT JOIN firsts ON firsts.run = windows.run
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT worded.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept ON kept.doc_id = worded.doc_id
+"""
