@@ -1,14 +1,14 @@
 """Monte Carlo over simulation units: runs x units as rows, drawn in parallel.
 
 Members are first collapsed to units (groups of equal keys), so the job size is
-units x blocks of runs, whatever the number of members. Draws depend on the seed, the block
-of runs and the units of a chunk: any partitioning and any retry gives the same numbers, but
-another unit in a chunk changes its neighbours' draws.
+units x blocks of runs, whatever the number of members. Each unit draws from its own
+counter-based stream, keyed by the seed and the unit, with the block of runs as counter: any
+partitioning and any retry gives the same numbers, a further unit leaves the draws of the
+others alone, and further runs leave those before them alone.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +17,7 @@ from renewlake import params as P
 from renewlake.params import MonteCarloConfig
 
 CHUNKS = 8
-RUNS_PER_BLOCK = 25
+RUNS_PER_BLOCK = 100
 
 
 def simulation_units(simulated: DataFrame) -> DataFrame:
@@ -52,20 +52,25 @@ def _block_draws(cfg: MonteCarloConfig):
     per_block, columns = RUNS_PER_BLOCK, list(_DRAWN_COLUMNS)
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, chunk = int(pdf["block"].iloc[0]), int(pdf["chunk"].iloc[0])
+        block = int(pdf["block"].iloc[0])
         units = pdf.sort_values("unit_key")
         column = {c: units[c].to_numpy() for c in units.columns}
-        runs = np.arange(block * per_block, min((block + 1) * per_block, n_runs))
-        # Every chunk of a block draws the same multipliers; the renewals are the chunk's own.
-        normal = np.random.default_rng([seed, block]).standard_normal((per_block, 4))[: len(runs)]
-        strength = np.clip(1.0 + normal * effects[:, 0], effects[:, 1], effects[:, 2])
-        risk = np.stack([np.broadcast_to(column["baseline_churn_probability"], (len(runs), len(units))), np.clip(
+        # Every block draws all its runs, also those beyond the last one that is asked for.
+        # All units of a run share its multipliers; the renewals are each unit's own.
+        strength = np.clip(1.0 + np.random.default_rng([seed, block]).standard_normal((per_block, 4)) * effects[:, 0],
+                           effects[:, 1], effects[:, 2])
+        risk = np.stack([np.broadcast_to(column["baseline_churn_probability"], (per_block, len(units))), np.clip(
             column["baseline_churn_probability"] + strength[:, :1] * column["auto_probability_delta"]
             + strength[:, 1:2] * column["engagement_probability_delta"]
             + strength[:, 2:3] * column["upsell_probability_delta"], 1e-4, 1 - 1e-4)])
-        rng = np.random.default_rng([seed, block, chunk + 1])
-        share = rng.beta(np.maximum((1.0 - risk) * weight, 1.0), np.maximum(risk * weight, 1.0))
-        before, after = rng.binomial(column["users"], share).astype(float)
+        stay, leave = np.maximum((1.0 - risk) * weight, 1.0), np.maximum(risk * weight, 1.0)
+        renewals = np.empty(risk.shape)
+        for i, (unit, users) in enumerate(zip(column["unit"].astype(np.uint64), column["users"])):
+            own = np.random.Generator(np.random.Philox(
+                key=np.array([seed, unit], np.uint64), counter=np.array([0, 0, 0, block], np.uint64)))
+            renewals[:, :, i] = own.binomial(users, own.beta(stay[:, :, i], leave[:, :, i]))
+        runs = np.arange(block * per_block, min((block + 1) * per_block, n_runs))
+        (before, after), strength = renewals[:, : len(runs)], strength[: len(runs)]
         old_pay = column["expected_renewal_amount"]
         new_pay = np.maximum(old_pay + strength[:, 3:] * column["upsell_amount_delta"], 0.0)
         sums = [before.sum(1), after.sum(1), before @ old_pay, (before * new_pay).sum(1), (after * new_pay).sum(1)]
@@ -81,8 +86,8 @@ def monte_carlo_runs(units: DataFrame, cfg: MonteCarloConfig = MonteCarloConfig(
     key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in P.SIMULATION_UNIT_KEYS])
     needed = ("users", "baseline_churn_probability", "auto_probability_delta", "engagement_probability_delta",
               "upsell_probability_delta", "expected_renewal_amount", "upsell_amount_delta", "campaign_cost")
-    rows = units.select(key.alias("unit_key"), *needed).withColumn(
-        "chunk", F.pmod(F.xxhash64("unit_key"), F.lit(CHUNKS)))
+    rows = units.select(key.alias("unit_key"), *needed).withColumn("unit", F.xxhash64("unit_key")).withColumn(
+        "chunk", F.pmod("unit", F.lit(CHUNKS)))
     last = (cfg.n_iterations - 1) // RUNS_PER_BLOCK
     blocks = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")
     # The rows are few but costly: keep every partition, which adaptive coalescing would merge.
@@ -128,6 +133,62 @@ def win_probabilities(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_invariants(runs: DataFrame, units: DataFrame, cfg: MonteCarloConfig = MonteCarloConfig()) -> DataFrame:
+    """(invariant, checked, violations): what must hold of any draws, one row each.
+
+    Of the runs: numbers 0 to n - 1, each once; the parts of the revenue add up to the whole;
+    multipliers and percentages lie in their ranges; all runs cost what the units cost; no run
+    earns more than if every user renewed. Of the summaries: percentiles rise, the mean lies
+    between the extremes, the histogram holds every run once.
+    """
+    full = units.agg(
+        F.sum("campaign_cost").alias("cost"), F.sum(F.col("users") * F.col("expected_renewal_amount")).alias("most"),
+        F.sum(F.col("users") * F.greatest(  # upsell amounts grow with the largest multiplier, or shrink with the least
+            F.col("expected_renewal_amount") + 1.4 * F.col("upsell_amount_delta"),
+            F.col("expected_renewal_amount") + 0.7 * F.col("upsell_amount_delta"), F.lit(0.0))).alias("most_after"))
+    limits = full.select(F.struct("cost", "most", "most_after").alias("u")).scalar()
+    c, u = F.col, F.col("u")
+    near = lambda x, y: F.abs(x - y) <= 1e-9 * (1 + F.abs(x) + F.abs(y))
+    within = lambda name, low, high: c(name).between(low, high)
+    old, new = c("baseline_retained_revenue_30d"), c("scenario_retained_revenue_30d")
+    parts = c("incremental_upsell_revenue_30d") + c("saved_revenue_from_risk_reduction_30d")
+    rules = {
+        "run_number": within("run_id", 0, cfg.n_iterations - 1) & (c("times") == 1),
+        "parts_of_revenue": F.abs(new - old - parts) <= 1e-9 * (1 + old + new),
+        "net_value": F.abs(c("net_value_after_cost_30d") - (new - old - c("campaign_cost_30d"))) <= 1e-9 * (1 + old + new),
+        "campaign_cost": near(c("campaign_cost_30d"), u["cost"]),
+        "multipliers": within("auto_effect_multiplier", 0.4, 1.6) & within("engagement_effect_multiplier", 0.4, 1.8)
+        & within("upsell_risk_multiplier", 0.4, 1.8) & within("upsell_amount_multiplier", 0.7, 1.4),
+        "percentages": within("baseline_churn_prob_pct", 0, 100) & within("scenario_churn_prob_pct", 0, 100),
+        "full_renewal": (old >= 0) & (new >= 0) & (old <= u["most"] * (1 + 1e-9)) & (new <= u["most_after"] * (1 + 1e-9)),
+    }
+    times = runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("times"))
+    tested = runs.join(times, "run_id").withColumn("u", limits)
+
+    def counted(rows: DataFrame, checks: dict) -> DataFrame:
+        broken = [F.struct(F.lit(name).alias("invariant"), F.count(F.lit(1)).alias("checked"),
+                           F.count_if(~F.coalesce(rule, F.lit(False))).alias("violations"))
+                  for name, rule in checks.items()]
+        return rows.agg(F.array(*broken).alias("found")).select(F.inline("found"))
+
+    extremes = runs.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("column"), c(name).alias("x")) for name in P.MONTE_CARLO_METRICS])).alias("r")
+    ).groupBy("r.column").agg(F.min("r.x").alias("low"), F.max("r.x").alias("high"))
+    steps = ["low", "p05", "p25", "p50", "p75", "p95", "high"]
+    rising = F.lit(True)
+    for below, above in zip(steps, steps[1:]):
+        rising = rising & (c(below) <= c(above))
+    slack = 1e-9 * (1 + F.abs("low") + F.abs("high"))
+    summaries = counted(metric_percentiles(runs).join(extremes, "column"), {
+        "percentiles": rising,
+        "mean_and_deviation": c("mean").between(c("low") - slack, c("high") + slack)
+        & c("std").between(0, (c("high") - c("low")) / 2 + slack)})
+    bins = net_value_histogram(runs).agg(F.sum("run_count").alias("n"), F.sum("share_pct").alias("pct"))
+    whole = counted(bins, {"histogram": (c("n") == cfg.n_iterations) & near(c("pct"), F.lit(100.0))})
+    missing = counted(runs.agg(F.count_distinct("run_id").alias("n")), {"all_runs": c("n") == cfg.n_iterations})
+    return counted(tested, rules).unionByName(summaries).unionByName(whole).unionByName(missing)
+
+
 def net_value_histogram(runs: DataFrame, column: str = "net_value_after_cost_30d") -> DataFrame:
     """Equal-width bins over the runs, the last one closed; one bin when all runs agree."""
     values = runs.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))

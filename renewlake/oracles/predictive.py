@@ -264,3 +264,8 @@ oracle("mc_histogram", """WITH r AS (SELECT min(net_value_after_cost_30d) AS lo,
   SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + g.bin * ((hi - lo) / bins), 4) AS bucket_start, round(lo + (g.bin + 1) * ((hi - lo) / bins), 4) AS bucket_end,
   round(lo + (g.bin + 0.5) * ((hi - lo) / bins), 4) AS bucket_mid, coalesce(c, 0) AS run_count, round(coalesce(c, 0) / n * 100, 4) AS share_pct
   FROM r, LATERAL (SELECT unnest(range(bins)) AS bin) g LEFT JOIN h ON h.bin = g.bin""")
+
+# What must be found of any 1,000 runs; the draws themselves SQL cannot repeat.
+oracle("monte_carlo_invariants", """SELECT unnest(['run_number', 'parts_of_revenue', 'net_value', 'campaign_cost', 'multipliers',
+  'percentages', 'full_renewal', 'percentiles', 'mean_and_deviation', 'histogram', 'all_runs']) AS invariant,
+  unnest([1000, 1000, 1000, 1000, 1000, 1000, 1000, 8, 8, 1, 1])::BIGINT AS checked, 0::BIGINT AS violations""")

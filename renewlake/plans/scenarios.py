@@ -166,6 +166,21 @@ def _(spark, sf):
     return N.win_probabilities(read_stage(spark, sf, "monte_carlo_runs"))
 
 
+@query("monte_carlo_run_percentiles")
+def _(spark, sf):
+    return N.metric_percentiles(read_stage(spark, sf, "monte_carlo_runs"))
+
+
+@query("mc_run_histogram")
+def _(spark, sf):
+    return N.net_value_histogram(read_stage(spark, sf, "monte_carlo_runs"))
+
+
+@query("monte_carlo_invariants")
+def _(spark, sf):
+    return N.run_invariants(read_stage(spark, sf, "monte_carlo_runs"), N.simulation_units(simulated(spark, sf)))
+
+
 def _standin_runs(spark, sf) -> DataFrame:
     """A runs table without random draws: one run per expiry day and city of the members."""
     days = features(spark, sf).where(F.col("target_month") == fx.SCORE_MONTH).select("msno", "expire_day", "city")

@@ -101,6 +101,38 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert N.metric_percentiles(N.monte_carlo_runs(units(spark), cfg)).count() == 8
 
 
+def test_draws_of_a_unit_are_its_own(spark):
+    """Runs of all units are the sums of runs of some and of the rest; further runs change none before."""
+    everyone, renewed = units(spark), "baseline_retained_revenue_30d"
+    some = F.col("price_segment").isin("p0", "p3", "p4", "p9")
+    of = lambda rows, n=130: {
+        r["run_id"]: r for r in N.monte_carlo_runs(rows, MonteCarloConfig(n_iterations=n)).collect()}
+    whole, part, rest, more = of(everyone), of(everyone.where(some)), of(everyone.where(~some)), of(everyone, 230)
+    assert len(whole) == 130 and len(more) == 230
+    for run, row in whole.items():
+        for column in (renewed, "scenario_retained_revenue_30d", "net_value_after_cost_30d"):
+            assert row[column] == pytest.approx(part[run][column] + rest[run][column])
+            assert row[column] == pytest.approx(more[run][column])
+    assert [whole[i][renewed] for i in range(30)] != [whole[100 + i][renewed] for i in range(30)]  # of two blocks
+    alone = [of(everyone.where(F.col("price_segment") == p)) for p in ("p1", "p2")]
+    assert [alone[0][i][renewed] for i in range(130)] != [alone[1][i][renewed] for i in range(130)]
+
+
+def test_invariants_see_broken_runs(spark):
+    cfg = MonteCarloConfig(n_iterations=40)
+    runs = spark.createDataFrame(N.monte_carlo_runs(units(spark), cfg).collect())
+    broken = lambda rows: {r["invariant"]: r["violations"]
+                           for r in N.run_invariants(rows, units(spark), cfg).collect() if r["violations"]}
+    assert broken(runs) == {}
+    one = F.col("run_id") == 7
+    spoil = lambda name, value: runs.withColumn(name, F.when(one, value).otherwise(F.col(name)))
+    assert broken(spoil("campaign_cost_30d", F.lit(99.0))) == {"campaign_cost": 1, "net_value": 1}
+    assert broken(spoil("upsell_risk_multiplier", F.lit(2.0))) == {"multipliers": 1}
+    assert broken(spoil("saved_revenue_from_risk_reduction_30d", F.lit(None).cast("double"))) == {"parts_of_revenue": 1}
+    assert broken(spoil("run_id", F.lit(8))) == {"run_number": 2, "all_runs": 1}
+    assert set(broken(runs.where(~one))) == {"all_runs", "histogram"}
+
+
 def test_flat_histogram_has_one_bucket(spark):
     df = spark.createDataFrame([(7.0,)] * 5, "net_value_after_cost_30d double")
     got = N.net_value_histogram(df).collect()
