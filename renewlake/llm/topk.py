@@ -14,6 +14,7 @@ BLOCK_ROWS = 16_384  # vectors of a block
 QUERY_ROWS = 2_048  # queries of a block
 STEP_ROWS = 2_048  # vectors between two rises of the thresholds
 EXACT = 2.0 ** 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # what a score of 64 bits can hold
 
 
 def gram_matrix(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -34,18 +35,27 @@ def gram_matrix(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floats while every sum is below 2^53, else by Python integers."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
-    if top < EXACT:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return (queries.astype(object) @ vectors.astype(object).T).astype(np.int64)
+    """Exact integer inner products: by floats while every sum is below 2^53, else by Python integers.
+
+    Sums beyond 64 bits become the nearest number that 64 bits hold.
+    """
+    q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
+        return (q @ v.T).astype(np.int64)
+    sums = queries.astype(object) @ vectors.astype(object).T
+    return np.minimum(np.maximum(sums, LEAST), MOST).astype(np.int64)
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     """The k-th largest of each row, or the least integer if there are fewer."""
     if scores.shape[1] < k:
-        return np.full(len(scores), np.iinfo(np.int64).min)
-    return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        return np.full(len(scores), LEAST)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def _reachable(floors: np.ndarray) -> np.ndarray:
+    """Thresholds as floats; the least integer stands for any sum at or below it, so nothing is too small for it."""
+    return np.where(floors == LEAST, -np.inf, floors.astype(np.float64))
 
 
 def _search(k: int, rotation: np.ndarray, head: int):
@@ -63,7 +73,7 @@ def _search(k: int, rotation: np.ndarray, head: int):
         v_turned, q_turned = v @ rotation, q @ rotation
         v_rest = np.sqrt(np.maximum(v_norm ** 2 - (v_turned[:, :head] ** 2).sum(1), 0))
         q_rest = np.sqrt(np.maximum(q_norm ** 2 - (q_turned[:, :head] ** 2).sum(1), 0))
-        floor = queries["floor"].to_numpy().copy()
+        floor = _reachable(queries["floor"].to_numpy())
         best_score = [np.empty(0, np.int64)] * len(q)
         best_id = [np.empty(0, np.int64)] * len(q)
         for at in range(0, len(v), STEP_ROWS):
@@ -82,10 +92,10 @@ def _search(k: int, rotation: np.ndarray, head: int):
             for row, i in enumerate(live):
                 mine = can[row, columns] & (ids != q_id[i])
                 s, d = np.append(best_score[i], scores[row, mine]), np.append(best_id[i], ids[mine])
-                order = np.lexsort((d, -s))[:k]
+                order = np.lexsort((d, ~s))[:k]  # ~s falls as s rises, and has no overflow
                 best_score[i], best_id[i] = s[order], d[order]
                 if len(order) == k:
-                    floor[i] = max(floor[i], s[order[-1]])
+                    floor[i] = max(floor[i], _reachable(s[order[-1:]])[0])
         return pd.DataFrame({
             "query_id": np.repeat(q_id, [len(x) for x in best_id]),
             "vec_id": np.concatenate(best_id), "score": np.concatenate(best_score)})
@@ -105,7 +115,7 @@ def _with_floors(k: int, seeds: list):
             q = np.array(batch.column(1).to_pylist(), np.int64)
             scores = _products(q, longest)
             own = batch.column(0).to_numpy()[:, None] == ids[None, :]
-            scores[own] = np.iinfo(np.int64).min + 1
+            scores[own] = LEAST
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(_kth(scores, k), pa.int64())], names=["vec_id", "vec", "norm", "floor"])
 
@@ -125,7 +135,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5) -> Data
     make a large block.
 
     Defined cases: null vectors take no part; vectors of unlike length aren't compared; fewer
-    than k other vectors give fewer rows; no queries or an empty table give no rows.
+    than k other vectors give fewer rows; no queries or an empty table give no rows; a sum
+    beyond 64 bits counts as the largest or least number of 64 bits, and such are ties.
     """
     spark = prepared(vectors.sparkSession)
     rows = stored(vectors.where("vec is not null").select(
@@ -155,10 +166,10 @@ def _top_of(spark, rows: DataFrame, is_query: Column, k: int, dim: int) -> DataF
         band = F.when(F.col("norm") > cut, F.lit(-i)).otherwise(band)
     banded = rows.withColumn("band", band)
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy("band").collect()
-    first, pieces, tops = {}, {}, []
+    first, pieces, blocks = {}, {}, 0
     for s in sizes:
-        first[s["band"]], pieces[s["band"]] = len(tops), -(-s["n"] // BLOCK_ROWS)
-        tops += [s["top"]] * pieces[s["band"]]
+        first[s["band"]], pieces[s["band"]] = blocks, -(-s["n"] // BLOCK_ROWS)
+        blocks += pieces[s["band"]]
     start = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("band"))
     count = F.element_at(F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv]), F.col("band"))
     members = banded.withColumn("block", start + F.pmod(F.xxhash64("vec_id"), count).cast("int"))
@@ -167,13 +178,17 @@ def _top_of(spark, rows: DataFrame, is_query: Column, k: int, dim: int) -> DataF
         _with_floors(k, seeds), "vec_id long, vec array<long>, norm double, floor long")
     queries = stored(queries, "topk-queries")
     n_parts = max(1, -(-queries.count() // QUERY_ROWS))
-    reach = F.filter(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(t).alias("t")) for i, t in enumerate(tops)]),
-                     lambda x: F.col("norm") * x["t"] * (1 + 1e-9) + 1 >= F.col("floor"))
+    # At most 64 bands are told by literals; the blocks of those that can hold a result are counted out.
+    bands = F.array(*[F.struct(F.lit(s["top"]).alias("top"), F.lit(first[s["band"]]).alias("at"),
+                               F.lit(pieces[s["band"]]).alias("n")) for s in sizes])
+    reach = F.filter(bands, lambda x: F.col("norm") * x["top"] * (1 + 1e-9) + 1 >= F.col("floor"))
     asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).withColumn(
-        "block", F.explode(F.transform(reach, lambda x: x["b"])))
+        "block", F.explode(F.flatten(F.transform(reach, lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
     asked = asked.select("block", "part", "vec_id", "vec", "norm", "floor", F.lit(True).alias("asks"))
-    shown = members.select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "vec_id", "vec", "norm",
+    # Members go only to the parts of the queries that ask their block.
+    parts = asked.groupBy("block").agg(F.collect_set("part").alias("parts"))
+    shown = members.join(parts, "block").select(
+        "block", F.explode("parts").alias("part"), "vec_id", "vec", "norm",
         F.lit(0).cast("long").alias("floor"), F.lit(False).alias("asks"))
     return asked.unionByName(shown).groupBy("block", "part").applyInPandas(
         _search(k, rotation, max(1, dim // 4)), "query_id long, vec_id long, score long")
