@@ -41,9 +41,13 @@ def must_save_rollup(matrix: DataFrame) -> DataFrame:
 
 
 def priority_rows(matrix: DataFrame, rows: int = 6) -> DataFrame:
-    """Export list: first rows by risk, amounts in whole units."""
+    """Export list: first rows by risk, amounts in whole units, halves up.
+
+    Sums of doubles end in digits that depend on the order of their rows. They are cut off
+    first, so that a sum of exactly 2.5 is 3 in whatever order it was added.
+    """
     top = matrix.orderBy(F.col("revenue_at_risk").desc(), F.col("avg_churn_prob").desc(), "strategic_segment").limit(rows)
-    whole = lambda c: F.floor(F.col(c) + 0.5)
+    whole = lambda c: F.floor(F.round(c, 6) + 0.5)
     return top.select("strategic_segment", "quadrant", "user_count", whole("revenue_at_risk").alias("revenue_at_risk"),
                       whole("avg_future_cltv").alias("avg_future_cltv"), "primary_risk_driver", "recommended_action")
 
