@@ -264,8 +264,10 @@ def raw_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> DataFra
     return join_log_features(labels, agg).join(encode_members(members_dedup(members)), "msno", "left")
 
 
-def feature_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> DataFrame:
-    return fill_numeric(add_layers(raw_frame(labels, logs, members)))
+def feature_frame(labels: DataFrame, logs: DataFrame, members: DataFrame, gather: bool = False) -> DataFrame:
+    """With `gather`, rows of a month come together before the layers, where they are less than half as wide."""
+    raw = raw_frame(labels, logs, members)
+    return fill_numeric(add_layers(raw.hint("rebalance", F.col("target_month")) if gather else raw))
 
 
 # --- checks, alignment, splits --------------------------------------------------------
@@ -289,11 +291,12 @@ def checked_frame(labels: DataFrame, logs: DataFrame, members: DataFrame) -> tup
 
     The counts are gathered while the frame is written, so there is no second scan. Labels
     hold a row for each member and month; with as many rows in the frame no join has
-    multiplied or lost any, so its keys are unique too.
+    multiplied or lost any, so its keys are unique too. Rows of a month are gathered, as a
+    table with a folder for each month wants them.
     """
     expected, built = Observation(), Observation()
     rows = F.count(F.lit(1)).alias("rows")
-    frame = feature_frame(labels.observe(expected, rows), logs, members).observe(built, rows, *_violations())
+    frame = feature_frame(labels.observe(expected, rows), logs, members, gather=True).observe(built, rows, *_violations())
 
     def check() -> None:
         counts = built.get

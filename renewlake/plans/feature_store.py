@@ -15,7 +15,7 @@ def _labels_stage(spark, sf):
     return L.month_labels(fx.transactions(spark, sf), fx.FIRST_MONTH, fx.SCORE_MONTH)
 
 
-@stage("features", partition_by=("target_month",))
+@stage("features", partition_by=("target_month",), gathered=True)
 def _features_stage(spark, sf):
     return X.checked_frame(month_labels(spark, sf), fx.user_logs(spark, sf), fx.members(spark, sf))
 

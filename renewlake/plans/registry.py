@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from renewlake.session import apply_runtime_conf
+from renewlake.session import apply_batch_conf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,7 +27,7 @@ def query(key: str, digits: int = 4):
     def register(build):
         @wraps(build)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            apply_runtime_conf(spark)
+            apply_batch_conf(spark)
             return rounded(build(spark, sf_dir.rstrip("/")), digits)
 
         if key in QUERIES:

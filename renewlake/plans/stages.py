@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from renewlake.sources.scratch import file_stamp, scratch_root
 
-_BUILDERS: dict[str, tuple[Callable, tuple[str, ...]]] = {}
+_BUILDERS: dict[str, tuple] = {}  # name -> builder, partition columns and, if the builder gathers the rows itself, True
 _DONE: dict[str, tuple[str, T.StructType]] = {}
 
 
-def stage(name: str, partition_by: tuple[str, ...] = ()):
-    """Register a builder. It returns the table, or the table and a check to run once it is written."""
+def stage(name: str, partition_by: tuple[str, ...] = (), gathered: bool = False):
+    """Register a builder. It returns the table, or the table and a check to run once it is written.
+
+    With `gathered`, the builder has brought the rows of a partition together itself.
+    """
     def register(build):
-        _BUILDERS[name] = (build, partition_by)
+        _BUILDERS[name] = (build, partition_by, gathered)
         return build
 
     return register
@@ -35,12 +38,12 @@ def input_key(spark: SparkSession, sf_dir: str) -> str:
 
 
 def read_stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    build, partition_by = _BUILDERS[name]
+    build, partition_by, *gathered = _BUILDERS[name]
     path = f"{scratch_root(spark)}/stages/{input_key(spark, sf_dir)}/{name}"
     if path not in _DONE:
         df = build(spark, sf_dir)
         df, check = df if isinstance(df, tuple) else (df, None)
-        if partition_by:
+        if partition_by and not any(gathered):
             # Gathers the rows of a month into few files, yet splits a month that is too
             # large for one task (adaptive rebalance).
             df = df.hint("rebalance", *[F.col(c) for c in partition_by])

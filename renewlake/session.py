@@ -19,6 +19,15 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Settings of the batch queries, for sessions that do not bring their own. Parts that
+# tasks sort or hash stay small enough for the memory of one task: with 64 MB of compressed
+# rows a part, the sorts of labels and logs spilled several times their input. Joins whose
+# parts on one side are small enough to be hashed need no sort at all.
+BATCH_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32m",
+}
+
 
 def local_session(cpus: int | str = "*", app: str = "renewlake", **conf: str) -> SparkSession:
     """A local session for tests and the bench. Clusters bring their own."""
@@ -44,3 +53,12 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def apply_batch_conf(spark: SparkSession) -> SparkSession:
+    """The runtime settings, and the batch settings that the session leaves open."""
+    apply_runtime_conf(spark)
+    for key, value in BATCH_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
