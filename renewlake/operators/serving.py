@@ -198,27 +198,31 @@ def stable_sample(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def model_cohort(
-    snapshot: DataFrame, tx: DataFrame, logs: DataFrame, segment_type: str | None = None,
+    snapshot: DataFrame, tx: DataFrame, logs: DataFrame | None = None, segment_type: str | None = None,
     segment_value: str | None = None, sample_limit: int | None = None,
 ) -> DataFrame:
-    """Latest snapshot row per member and month with the month's payments and listening."""
+    """Latest snapshot row per member and month with the month's payments and listening.
+
+    Without logs, the listening is the mean seconds that the snapshot carries.
+    """
     kept = ("churned", "is_auto_renew", "price_segment", "loyalty_segment", "active_segment", "discovery_ratio", "skip_ratio")
+    carried = [] if logs is not None else ["mean_secs"]
     latest = snapshot.groupBy("snapshot_month", "msno").agg(
-        F.max_by(F.struct(*kept), F.struct("processed_at", "source")).alias("_r")
-    ).select("snapshot_month", "msno", *[F.col(f"_r.{c}").alias(c) for c in kept])
+        F.max_by(F.struct(*kept, *carried), F.struct("processed_at", "source")).alias("_r")
+    ).select("snapshot_month", "msno", *[F.col(f"_r.{c}").alias(c) for c in (*kept, *carried)])
     tx_month = tx.groupBy("msno", month_start("membership_expire_date").alias("snapshot_month")).agg(
         F.avg("actual_amount_paid").alias("avg_paid"),
         F.avg(F.greatest(F.col("payment_plan_days"), F.lit(1))).alias("avg_plan_days"),
         F.count(F.lit(1)).cast("double").alias("txn_count"),
     )
-    log_month = logs.groupBy("msno", month_start("date").alias("snapshot_month")).agg(
-        F.avg("total_secs").alias("avg_daily_secs")
-    )
     keys = ["msno", "snapshot_month"]
+    cohort = segment_filter(latest, segment_type, segment_value).join(tx_month, keys, "left")
+    if logs is not None:
+        log_month = logs.groupBy("msno", month_start("date").alias("snapshot_month")).agg(
+            F.avg("total_secs").alias("mean_secs"))
+        cohort = cohort.join(log_month, keys, "left")
     cohort = (
-        segment_filter(latest, segment_type, segment_value)
-        .join(tx_month, keys, "left")
-        .join(log_month, keys, "left")
+        cohort.select(*keys, *kept, "avg_paid", "avg_plan_days", "txn_count", F.col("mean_secs").alias("avg_daily_secs"))
         .na.fill({"avg_paid": 0.0, "avg_plan_days": 30.0, "txn_count": 1.0, "avg_daily_secs": 0.0})
     )
     return stable_sample(cohort, sample_limit)

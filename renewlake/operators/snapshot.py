@@ -82,8 +82,9 @@ def tx_features_history(tx: DataFrame, start=None, end=None) -> DataFrame:
     )
 
 
-def log_last(logs: DataFrame, start=None, end=None, date_column: str = "date") -> DataFrame:
-    """Skips, plays, distinct songs, seconds and log days per member and month."""
+def log_last(logs: DataFrame, start=None, end=None, date_column: str = "date", mean_secs: bool = False) -> DataFrame:
+    """Skips, plays, distinct songs, seconds and log days per member and month; on demand the mean seconds of a row."""
+    mean = [F.avg("total_secs").alias("mean_secs")] if mean_secs else []
     plays = sum((F.col(c) for c in PLAYS[1:]), F.col(PLAYS[0]))
     return (
         in_window(logs, date_column, start, end)
@@ -94,6 +95,7 @@ def log_last(logs: DataFrame, start=None, end=None, date_column: str = "date") -
             F.sum("num_unq").alias("disc_num"),
             F.sum("total_secs").alias("total_secs"),
             F.count(F.lit(1)).alias("active_days"),
+            *mean,
         )
     )
 
@@ -135,8 +137,9 @@ def member_month_snapshot(
     """Join the three aggregates (logs on member and month) and assign the serving buckets.
 
     `members` must hold one row per member. Missing members and logs stay NULL and
-    take the written fallbacks.
+    take the written fallbacks. Mean seconds are carried along when the logs hold them.
     """
+    carried = ["mean_secs"] if "mean_secs" in logs_month.columns else []
     joined = (
         tx_month.join(members.select("msno", "bd", "gender", "registration_init_time"), "msno", "left")
         .join(logs_month, ["msno", "snapshot_month"], "left")
@@ -164,6 +167,7 @@ def member_month_snapshot(
             "skip_ratio",
             F.lit(source).alias("source"),
             stamped.alias("processed_at"),
+            *carried,
         )
     )
 
@@ -172,9 +176,9 @@ def history_and_realtime(
     tx: DataFrame, members: DataFrame, logs: DataFrame, history_start: str, boundary: str,
     stamps: tuple[str | None, str | None] = (None, None),
 ) -> DataFrame:
-    """History months before the boundary, and later months that have logs."""
+    """History months before the boundary, and later months that have logs, with their mean seconds."""
     people = members_dedup(members)
-    log_month = log_last(logs)
+    log_month = log_last(logs, mean_secs=True)
     history = member_month_snapshot(
         tx_features_history(tx, history_start, boundary).drop("last_tx_date"), people, log_month,
         "history_precompute", stamps[0],

@@ -109,4 +109,4 @@ def _(spark, sf):
 
 @query("model_cohort")
 def _(spark, sf):
-    return Q.model_cohort(tb.snapshot(spark, sf), fx.transactions(spark, sf), fx.user_logs(spark, sf))
+    return Q.model_cohort(tb.snapshot_with_means(spark, sf), fx.transactions(spark, sf))

@@ -14,7 +14,7 @@ AUTO, UPSELL, SKIP = 20.0, 15.0, 25.0
 
 @query("score_member")
 def _(spark, sf):
-    cohort = Q.model_cohort(tb.snapshot(spark, sf), fx.transactions(spark, sf), fx.user_logs(spark, sf))
+    cohort = Q.model_cohort(tb.snapshot_with_means(spark, sf), fx.transactions(spark, sf))
     return S.score_members(cohort).drop("strategic_segment", "primary_risk_driver", "payment_mode")
 
 

@@ -46,12 +46,17 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_with_means(spark, sf_dir).drop("mean_secs")
+
+
+def snapshot_with_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot and the mean seconds of its members' log rows, which spares a cohort the logs."""
     return read_stage(spark, sf_dir, "snapshot")
 
 
 @stage("scored_cohort", partition_by=("snapshot_month",))
 def _scored_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cohort = serving.model_cohort(snapshot(spark, sf_dir), fx.transactions(spark, sf_dir), fx.user_logs(spark, sf_dir))
+    cohort = serving.model_cohort(snapshot_with_means(spark, sf_dir), fx.transactions(spark, sf_dir))
     return scoring.score_members(cohort)
 
 
