@@ -42,18 +42,26 @@ class Model:
 
 
 LETTERS, DIGITS, REPEATS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S)
-CACHED_WORDS = 100_000
+CACHED_WORDS, CACHED_SHAPES = 100_000, 10_000
 BLOCK_CHARS = 200_000  # of the texts that are split into words at once; a longer text goes alone
 BLOCK_WORDS = 32_768  # words whose vectors are in memory at once
 
 
+def _letters(s: str) -> str:
+    return "a" if s.islower() else "A" if s.isupper() else "m" if s[1:].islower() else "x"
+
+
 def word_shape(word: str) -> str:
-    """Letters as a, A or Aa, digits as 9, a run of one other sign as that sign."""
-    def letters(found):
-        s = found[0]
-        return "a" if s.islower() else "A" if s.isupper() else "m" if s[1:].islower() else "x"
+    """Letters as a, A or Aa, digits as 9, a run of one other sign as that sign.
 
-    return REPEATS.sub(r"\1", DIGITS.sub("9", LETTERS.sub(letters, word)))
+    Most words are all letters or all digits, perhaps with one sign behind: they need no pattern.
+    """
+    core, sign = (word[:-1], word[-1]) if len(word) > 1 and not word[-1].isalnum() else (word, "")
+    if core.isalpha():
+        return _letters(core) + sign
+    if core.isdecimal():
+        return "9" + sign
+    return REPEATS.sub(r"\1", DIGITS.sub("9", LETTERS.sub(lambda found: _letters(found[0]), word)))
 
 
 def blocks_of(texts: list):
@@ -69,6 +77,24 @@ def blocks_of(texts: list):
         yield first, texts[first:]
 
 
+class WordBuckets(dict):
+    """Word -> word bucket and shape bucket as one number; a word met for the first time is worked out once."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.size, self.shapes = buckets, {}
+
+    def __missing__(self, word: str) -> int:
+        shape = _letters(word) if word.isalpha() else word_shape(word)
+        place = self.shapes.get(shape)
+        if place is None:
+            if len(self.shapes) > CACHED_SHAPES:
+                self.shapes.clear()
+            place = self.shapes[shape] = xxhash.xxh3_64_intdigest(shape.encode(), 1) % self.size
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower().encode()) % self.size * self.size + place
+        return value
+
+
 class Indexer:
     """Random index vectors: a word's own sparse vector plus twice that of its shape."""
 
@@ -81,30 +107,26 @@ class Indexer:
         for kind in (0, 1):
             for j in range(4):
                 np.add.at(self.index[kind], (np.arange(s.buckets), places[kind, :, j]), signs[kind, :, j])
-        self.cache: dict[str, tuple[int, int]] = {}
-
-    def _of(self, word: str) -> int:
-        s = self.s
-        own = xxhash.xxh3_64_intdigest(word.lower().encode()) % s.buckets
-        return own * s.buckets + xxhash.xxh3_64_intdigest(word_shape(word).encode(), 1) % s.buckets
+        self.doubled = 2 * self.index[1]
+        self.cache = WordBuckets(s.buckets)
 
     def buckets(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word and shape buckets of all words of the texts, and the number of words of each."""
         known = self.cache
         if len(known) > CACHED_WORDS:
             known.clear()
-        parts, counts = [], []
+        words, counts = [], []
         for text in texts:
-            words = (text or "").split()
-            for w in set(words).difference(known):
-                known[w] = self._of(w)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            counts.append(len(words))
-        both = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            more = text.split() if text else ()
+            words += more
+            counts.append(len(more))
+        both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return both // self.s.buckets, both % self.s.buckets, np.array(counts, np.int64)
 
     def vectors(self, own: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        return self.index[0][own] + 2 * self.index[1][shape]
+        found = self.index[0].take(own, 0)
+        found += self.doubled.take(shape, 0)
+        return found
 
 
 def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
@@ -112,7 +134,7 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
 
     def run(batches):
         indexer = Indexer(s)
-        total = np.zeros((s.buckets, s.size))
+        total = np.zeros((s.size, s.buckets))
         for batch in batches:
             for _, texts in blocks_of(batch.column(0).to_pylist()):
                 own, shape, counts = indexer.buckets(texts)
@@ -128,12 +150,12 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
                         around[step:] += vectors[:-step] * same
                         around[:-step] += vectors[step:] * same
                     around = around[at - near.start: end - near.start]
-                    for j in range(s.size):
-                        total[:, j] += np.bincount(own[at:end], around[:, j], s.buckets)
-        used = np.flatnonzero(total.any(1))
+                    for j, column in enumerate(np.ascontiguousarray(around.T, np.float64)):
+                        total[j] += np.bincount(own[at:end], column, s.buckets)
+        used = np.flatnonzero(total.any(0))
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), *[pa.array(total[used, j]) for j in range(s.size)]],
+                [pa.array(used, pa.int32()), *[pa.array(column[used]) for column in total]],
                 names=["bucket", *[f"x{j}" for j in range(s.size)]])
 
     columns = [f"x{j}" for j in range(s.size)]
@@ -149,8 +171,10 @@ def context_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
 
 def pooled(indexer: Indexer, contexts: np.ndarray, texts: list) -> np.ndarray:
     """Mean and spread of the context and index vectors of each text's words, and its length."""
-    width = 2 * indexer.s.size
+    size = indexer.s.size
+    width = 2 * size
     out = np.zeros((len(texts), 2 * width + 1), np.float64)
+    known = np.concatenate([contexts, contexts * contexts], 1, dtype=np.float64)
     for first, block in blocks_of(texts):
         own, shape, counts = indexer.buckets(block)
         full = np.flatnonzero(counts)
@@ -158,11 +182,16 @@ def pooled(indexer: Indexer, contexts: np.ndarray, texts: list) -> np.ndarray:
         sums = np.zeros((2, len(full), width))
         for at in range(0, len(own), BLOCK_WORDS):
             part = slice(at, at + BLOCK_WORDS)
-            vectors = np.concatenate([contexts[own[part]], indexer.vectors(own[part], shape[part])], 1)
-            mine, starts = np.unique(doc[part], return_index=True)
-            sums[0][mine] += np.add.reduceat(vectors, starts, axis=0, dtype=np.float64)
+            starts = np.flatnonzero(np.diff(doc[part], prepend=-1))
+            mine = doc[part][starts]
+            found = np.add.reduceat(known.take(own[part], 0), starts, axis=0)
+            sums[0][mine, :size] += found[:, :size]
+            sums[1][mine, :size] += found[:, size:]
+            # Index vectors hold small whole numbers: single precision adds a block of them exactly.
+            vectors = indexer.vectors(own[part], shape[part])
+            sums[0][mine, size:] += np.add.reduceat(vectors, starts, axis=0)
             vectors *= vectors
-            sums[1][mine] += np.add.reduceat(vectors, starts, axis=0, dtype=np.float64)
+            sums[1][mine, size:] += np.add.reduceat(vectors, starts, axis=0)
         n = counts[full][:, None]
         mean, square = sums / n
         out[first + full] = np.concatenate([mean, np.sqrt(np.maximum(square - mean ** 2, 0)), np.log1p(n)], 1)
