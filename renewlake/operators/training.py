@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from renewlake.functions.cols import clip
 from renewlake.operators.features import numeric_columns
 from renewlake.operators.predictive import eval_metrics
-from renewlake.sources.scratch import new_path, scratch_root
+from renewlake.sources.scratch import new_path, scratch_root, written
 
+MANY_ROWS = 1_000_000  # a training table of fewer rows has the parts that the session wants
+PART_ROWS = 700_000  # the most of an equal part: its file stays below the 128 MB at which a scan splits it
 EXCLUDED = ("msno", "is_churn", "transaction_date", "expire_date", "target_month", "last_expire_month",
             "transaction_month", "expire_month")
 
@@ -100,13 +103,18 @@ def vectors(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumn("vector", array_to_vector(F.array(*values)))
 
 
+def even_parts(rows: DataFrame) -> DataFrame:
+    """Many rows as equal parts, equally many for each core: every level of every round waits for its slowest task."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    if n < MANY_ROWS:
+        return rows.hint("rebalance")
+    return rows.repartition(cores * -(-n // (cores * PART_ROWS)))
+
+
 def _stored_vectors(rows: DataFrame, features: list[str], pos_weight: float, name: str) -> DataFrame:
     """Label, weight and vector as a written table: rounds and stages read it, not the feature job."""
-    path = new_path(rows.sparkSession, name)
     weight = F.when(F.col("is_churn") == 1, F.lit(pos_weight)).otherwise(F.lit(1.0))
-    # rebalanced: partitions as large as the session wants them, few for few rows
-    vectors(rows, features).select("is_churn", weight.alias("_weight"), "vector").hint("rebalance").write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return written(even_parts(vectors(rows, features).select("is_churn", weight.alias("_weight"), "vector")), name)
 
 
 def _fit(rows: DataFrame, cfg: TrainConfig, trees: int) -> GBTClassificationModel:
@@ -117,6 +125,18 @@ def _fit(rows: DataFrame, cfg: TrainConfig, trees: int) -> GBTClassificationMode
         checkpointInterval=10).fit(rows)
 
 
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model as it was after some rounds: a longer run starts with the trees of a shorter one."""
+    context = SparkContext._active_spark_context
+    ml = context._jvm.org.apache.spark.ml
+    trees = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(context._jvm.double, rounds)
+    for i, (tree, tree_weight) in enumerate(zip(model.trees[:rounds], model.treeWeights)):
+        trees[i], weights[i] = tree._java_obj, tree_weight
+    shorter = ml.classification.GBTClassificationModel(f"{model.uid}-{rounds}", trees, weights)
+    return GBTClassificationModel(shorter).setFeaturesCol(model.getFeaturesCol())
+
+
 def boosting_stages(rows: DataFrame, valid: DataFrame, cfg: TrainConfig) -> tuple[GBTClassificationModel, list[float], int]:
     """Model, validation log loss after each round, and the round with the lowest.
 
@@ -155,15 +175,9 @@ def train(frame: DataFrame, valid_month: int, score_month: int, cfg: TrainConfig
     features = select_features(parts["train"], parts["score"])
     weight = float(class_weight(parts["train"]).first()["scale_pos_weight"])
     # the loss that decides is that of the plain validation rows
-    fitted = {name: _stored_vectors(parts[name], features, w, f"train-{name}").persist()
-              for name, w in (("train", weight), ("valid", 1.0))}
-    try:
-        tried, losses, best = boosting_stages(fitted["train"], fitted["valid"], cfg)
-    finally:
-        for table in fitted.values():
-            table.unpersist()
-    first = tried if best == tried.getNumTrees else _fit(fitted["train"], cfg, best)
-    valid = _with_probability(first, vectors(parts["valid"], features))
+    fitted = {name: _stored_vectors(parts[name], features, w, f"train-{name}") for name, w in (("train", weight), ("valid", 1.0))}
+    tried, losses, best = boosting_stages(fitted["train"], fitted["valid"], cfg)
+    valid = written(_with_probability(first_rounds(tried, best), fitted["valid"]), "valid-scored")
     raw = eval_metrics(valid, prob="churn_probability_raw").first().asDict()
     calibrator, calibrated = None, raw
     if 0.0 < raw["positive_rate"] < 1.0:
