@@ -10,6 +10,7 @@ from renewlake.plans.feature_store import features
 from renewlake.plans.registry import query
 from renewlake.plans.stages import input_key, read_stage, stage
 from renewlake.sources import fixtures as fx
+from renewlake.sources.scratch import written
 
 
 def _month(spark, sf, month: int) -> DataFrame:
@@ -106,6 +107,8 @@ def trained(spark, sf) -> T.Trained:
 @query("train_classifier")
 def _(spark, sf):
     rows = T.predict(trained(spark, sf), _month(spark, sf, fx.SCORE_MONTH).drop("is_churn"))
+    # ranks read the probabilities several times
+    rows = written(rows.select("msno", "target_month", V.AMOUNT, "churn_probability_raw", "churn_probability"), "predicted")
     return V.score_outputs(rows).select("msno", "target_month", "churn_probability_raw", "churn_probability", "risk_percentile", "risk_decile", "risk_band")
 
 
@@ -118,7 +121,8 @@ def _(spark, sf):
 @query("isotonic_calibration")
 def _(spark, sf):
     t = trained(spark, sf)
-    valid = T.predict(t, _month(spark, sf, fx.VALID_MONTH))
+    valid = T.predict(t, _month(spark, sf, fx.VALID_MONTH)).select("is_churn", "churn_probability_raw", "churn_probability")
+    valid = written(valid, "valid-predicted")  # each metric reads it several times
     raw = V.eval_metrics(valid, prob="churn_probability_raw").withColumn("kind", F.lit("raw"))
     used = V.eval_metrics(valid).withColumn("kind", F.lit("selected"))
     return raw.unionByName(used)

@@ -52,3 +52,24 @@ def test_many_rows_come_in_equal_parts(frame, monkeypatch):
     assert len(one_each) == cores and len(more) == cores * -(-900 // (cores * 100))
     for found in (one_each, more):
         assert sum(found) == 900 and max(found) <= 1.2 * 900 / len(found) + cores
+
+
+def test_queries_read_their_predictions_from_a_table(spark, frame, monkeypatch):
+    """Ranks and metrics read the probabilities several times; the trees are walked once."""
+    from pyspark.sql import functions as F
+
+    from renewlake.plans import predictive as P
+    from renewlake.plans.registry import QUERIES
+
+    rows = frame.withColumn("expected_renewal_amount", F.lit(10.0))
+    trained = T.train(frame, 202402, 202403, T.TrainConfig(budget=2, max_depth=2, min_instances=20))
+    monkeypatch.setattr(P, "trained", lambda spark, sf: trained)
+    monkeypatch.setattr(P, "_month", lambda spark, sf, month: rows.where(F.col("target_month") == month))
+    scored = QUERIES["train_classifier"](spark, "unused")
+    assert any("predicted-" in f for f in scored.inputFiles())
+    assert scored.count() == frame.where(F.col("target_month") == P.fx.SCORE_MONTH).count()
+    metrics = QUERIES["isotonic_calibration"](spark, "unused")
+    assert any("valid-predicted-" in f for f in metrics.inputFiles())
+    found = {r["kind"]: r for r in metrics.collect()}
+    direct = P.V.eval_metrics(T.predict(trained, rows.where(F.col("target_month") == P.fx.VALID_MONTH))).first()
+    assert found["selected"]["log_loss"] == pytest.approx(direct["log_loss"], abs=1e-4)
