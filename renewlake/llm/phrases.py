@@ -12,8 +12,11 @@ from renewlake.llm.words import mixed
 
 CHUNK_WORDS = 300_000  # words that a task counts at once; a longer document is a chunk of its own
 PART_MASS = 1 << 23  # n-grams, at most, that one hash partition is planned for
-KEY_BITS = 40  # of an n-gram's hash, beside its partition
-BROADCAST_SURVIVORS = 4_000_000  # hashes of 8 bytes
+KEY_BITS = 32  # of an n-gram's hash, beside its partition
+BROADCAST_SURVIVORS = 4_000_000  # hashes of 8 bytes; more of them are broadcast as a filter
+FILTER_BITS = 12  # for each survivor, as long as the filter stays within FILTER_BYTES
+FILTER_BYTES = 1 << 26
+FILTER_PROBES = 4
 BROADCAST_COUNTS = 300_000  # counted phrases
 NO_LANG = "und"
 
@@ -94,7 +97,7 @@ def partitioned(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _summaries(most: int, parts: int):
-    """Exact counts of each chunk, a row of packed keys (five bytes) and counts for each hash partition."""
+    """Exact counts of each chunk, a row of packed keys (four bytes) and counts for each hash partition."""
 
     def run(batches):
         for chunk in chunks(batches):
@@ -182,17 +185,93 @@ def _merge(capacity: int, threshold: int):
     return run
 
 
+def _holds(wanted: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which values are among the wanted ones, both sorted."""
+    spot = np.searchsorted(wanted, value)
+    hit = spot < len(wanted)
+    hit[hit] = wanted[spot[hit]] == value[hit]
+    return hit
+
+
+class Filter:
+    """Survivors as bits: each hash partition has a segment of its own, in which a value sets FILTER_PROBES bits.
+
+    Every survivor passes, and of the other n-grams the same ones each time. So what passes
+    is counted whole, and the threshold drops what did not survive.
+    """
+
+    def __init__(self, width: int, bits: np.ndarray | None = None):
+        self.width, self.bits = width, bits
+
+    @staticmethod
+    def width_for(parts: int, survivors: int) -> int:
+        """Bits of a segment, in whole bytes."""
+        return max(8, -(-min(FILTER_BITS * survivors, 8 * FILTER_BYTES) // parts // 8) * 8)
+
+    def spots(self, value: np.ndarray, probe: int) -> np.ndarray:
+        """The bit of one probe inside the value's segment."""
+        spread = mixed(value * PROBE)
+        low, high = spread & np.uint64(0xFFFFFFFF), (spread >> np.uint64(32)) | np.uint64(1)
+        return ((low + np.uint64(probe) * high & np.uint64(0xFFFFFFFF)) * np.uint64(self.width)) >> np.uint64(32)
+
+    def segments(self, batches):
+        """The segment of each partition with the bits that its survivors set; they come partition by partition."""
+        now, segment = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int64()), pa.array([np.packbits(segment).tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            value = batch.column(0).to_numpy().astype(np.uint64)
+            part = (value >> np.uint64(KEY_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(first, np.append(first[1:], len(part))):
+                if part[a] != now:
+                    if now is not None:
+                        yield out()
+                    now, segment = int(part[a]), np.zeros(self.width, bool)
+                for probe in range(FILTER_PROBES):
+                    segment[self.spots(value[a:b], probe)] = True
+        if now is not None:
+            yield out()
+
+    def holds(self, value: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(value), bool)
+        left = np.arange(len(value))
+        for probe in range(FILTER_PROBES):
+            some = value[left]
+            spot = (some >> np.uint64(KEY_BITS)) * np.uint64(self.width) + self.spots(some, probe)
+            left = left[(self.bits[spot >> np.uint64(3)] << (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(128) != 0]
+        hit[left] = True
+        return hit
+
+
+def filter_bits(survivors: DataFrame, parts: int, width: int) -> np.ndarray:
+    """The filter with the bits of all survivors; the driver sees no hash, only segments."""
+    step = width // 8
+    bits = np.zeros(parts * step, np.uint8)
+    for batch in survivors.mapInArrow(Filter(width).segments, "part long, bits binary").toArrow().to_batches():
+        for part, some in zip(*batch.columns):
+            bits[part.as_py() * step:(part.as_py() + 1) * step] |= np.frombuffer(some.as_py(), np.uint8)
+    return bits
+
+
 def _rows(gram, lang, size, phrase, n):
     return pa.RecordBatch.from_arrays(
         [pa.array(gram, pa.int64()), pa.array(lang, pa.string()), pa.array([size] * len(n), pa.int32()),
          pa.array(phrase, pa.string()), pa.array(n, pa.int64())], names=["gram", "lang", "size", "phrase", "n"])
 
 
-def _counted(most: int, parts: int, survivors):
-    """Counts of n-grams as text, of the survivors alone if they were broadcast; size 0 counts all words of a language."""
+def _counted(most: int, parts: int, survivors, width: int = 0):
+    """Counts of n-grams as text, of the broadcast survivors or of all; size 0 counts all words of a language.
+
+    With a width, the survivors are the bits of a filter.
+    """
 
     def run(batches):
         wanted = None if survivors is None else survivors.value
+        passing = Filter(width, wanted).holds if width else lambda value: _holds(wanted, value)
         for chunk in chunks(batches):
             total = np.bincount(chunk.lang[chunk.ids != 0], minlength=len(chunk.names)).tolist()
             yield _rows([None] * len(total), chunk.names, 0, [None] * len(total), total)
@@ -202,9 +281,7 @@ def _counted(most: int, parts: int, survivors):
                 order = np.argsort(value, kind="stable")
                 at, value = at[order], value[order]
                 if wanted is not None:
-                    spot = np.searchsorted(wanted, value)
-                    hit = spot < len(wanted)
-                    hit[hit] = wanted[spot[hit]] == value[hit]
+                    hit = passing(value)
                     at, value = at[hit], value[hit]
                 if not len(at):
                     continue
@@ -229,8 +306,9 @@ def frequent_ngrams(docs: DataFrame, most: int = 3, threshold: int = 10, text_co
     pass: n-grams fall into hash partitions, as many as keep each at PART_MASS n-grams, and
     each partition is one Misra-Gries summary with room for more than mass / threshold
     counters, so that every frequent n-gram survives. Second pass: the texts are read again
-    and the survivors counted exactly, as text. Survivors are broadcast while they are few;
-    beyond that all n-grams are shuffled to them.
+    and the survivors counted exactly, as text. Survivors are broadcast while they are few,
+    beyond that a filter that all of them pass; the few others that pass are counted too, and
+    fall short of the threshold.
     """
     if most < 1 or threshold < 1:
         raise ValueError("phrases have at least one word and one occurrence")
@@ -244,18 +322,17 @@ def frequent_ngrams(docs: DataFrame, most: int = 3, threshold: int = 10, text_co
     survivors = stored(dealt.mapInArrow(_merge(capacity, threshold), "gram long"), "survivors")
 
     schema = "gram long, lang string, size int, phrase string, n long"
-    if survivors.count() <= BROADCAST_SURVIVORS:
+    found, width = survivors.count(), 0
+    if found <= BROADCAST_SURVIVORS:
         wanted = np.sort(survivors.toArrow().column("gram").to_numpy().astype(np.uint64))
-        sent = spark.sparkContext.broadcast(wanted)
-        counted = rows.mapInArrow(_counted(most, parts, sent), schema)
     else:
-        sent = None
-        every = rows.mapInArrow(_counted(most, parts, None), schema)
-        counted = every.where("size = 0").unionByName(every.where("size > 0").join(survivors, "gram", "left_semi"))
+        width = Filter.width_for(parts, found)
+        wanted = filter_bits(survivors, parts, width)
+    sent = spark.sparkContext.broadcast(wanted)
+    counted = rows.mapInArrow(_counted(most, parts, sent, width), schema)
     summed = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     result = stored(summed.where((F.col("size") == 0) | (F.col("n") >= threshold)), "ngrams")
-    if sent is not None:
-        sent.unpersist()
+    sent.unpersist()
     return result
 
 
