@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from renewlake.functions.cols import clip
+from renewlake.operators import boosting
 from renewlake.operators.features import numeric_columns
 from renewlake.operators.predictive import eval_metrics
 from renewlake.sources.scratch import new_path, scratch_root, written
@@ -117,12 +118,19 @@ def _stored_vectors(rows: DataFrame, features: list[str], pos_weight: float, nam
     return written(even_parts(vectors(rows, features).select("is_churn", weight.alias("_weight"), "vector")), name)
 
 
-def _fit(rows: DataFrame, cfg: TrainConfig, trees: int) -> GBTClassificationModel:
+def library(cfg: TrainConfig, trees: int) -> GBTClassifier:
     return GBTClassifier(
         labelCol="is_churn", featuresCol="vector", weightCol="_weight", maxIter=trees, maxDepth=cfg.max_depth,
         maxBins=cfg.max_bins, stepSize=cfg.step_size, subsamplingRate=cfg.subsampling,
         featureSubsetStrategy=str(cfg.feature_share), minInstancesPerNode=cfg.min_instances, seed=cfg.seed,
-        checkpointInterval=10).fit(rows)
+        checkpointInterval=10)
+
+
+def _fit(rows: DataFrame, cfg: TrainConfig, trees: int) -> GBTClassificationModel:
+    """The library's fit; of many rows the same trees, grown on histograms."""
+    if rows.count() < MANY_ROWS:
+        return library(cfg, trees).fit(rows)
+    return boosting.boost(rows, library(cfg, trees), cfg, trees)
 
 
 def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
