@@ -491,32 +491,34 @@ def boost(rows: DataFrame, library: GBTClassifier, cfg, rounds: int) -> GBTClass
     sample = np.array([r[0] for r in columns.select("v").limit(SAMPLE_ROWS).collect()]).reshape(-1, features)
     groups = Codes.planned(bins, _bins(sample, thresholds))
     binned = _kept(columns.mapInArrow(_binned(thresholds, features), "block binary").rdd.map(lambda r: pickle.loads(r[0])))
-    found = binned.map(lambda b: [np.unique(joint_values(b[3], members, bins)) for members in groups]).collect()
-    codes = Codes.of(bins, groups, [np.unique(np.concatenate(x)) for x in zip(*found)])
-    blocks = _kept(binned.map(lambda b: (*b[:3], codes.encode(b[3]))))
-    blocks.count()
-    binned.unpersist()
-    trees, past, state, before = [], [], None, None
+    kept, trees, past = [binned], [], []
     try:
+        # of a group with more values the first suffice: it is taken apart
+        found = binned.map(lambda b: [np.unique(joint_values(b[3], members, bins))[:MOST_VALUES + 1] for members in groups]).collect()
+        codes = Codes.of(bins, groups, [np.unique(np.concatenate(x)) for x in zip(*found)])
+        blocks = _kept(binned.map(lambda b: (*b[:3], codes.encode(b[3]))))
+        kept.append(blocks)
+        blocks.count()
+        binned.unpersist()
         for m in range(rounds):
             if m % LINEAGE == 0:
                 done = list(past)
                 state = _kept(blocks.map(lambda block, m=m, done=done: _rooted(_started(block, codes, done, m, cfg), codes)))
             else:
-                state = _kept(blocks.zip(before).map(lambda x, m=m, tree=past[-1]: _rooted(_moved((x[0], *x[1][:4]), codes, tree, m, cfg), codes)))
+                state = _kept(blocks.zip(kept[-1]).map(
+                    lambda x, m=m, tree=past[-1]: _rooted(_moved((x[0], *x[1][:4]), codes, tree, m, cfg), codes)))
+            kept.append(state)
             tree = _grown(blocks, state, codes, cfg, per_node, cfg.seed + m, trees[-1] if trees else None)
-            if before is not None:
-                before.unpersist()
-            before = state
+            if m:
+                kept.pop(-2).unpersist()
             trees.append(tree)
             past.append((tree.inner(), tree.leaf_values(cfg.step_size if m else 1.0)))
             if (m + 1) % LINEAGE == 0 or m + 1 == rounds:
-                found = blocks.zip(state).map(lambda x, inner=past[-1][0]: _squares((x[0], *x[1][:4]), walk(x[0][3], codes, inner)))
-                _settle(tree, _added(found.collect()))
+                squares = blocks.zip(state).map(lambda x, inner=past[-1][0]: _squares((x[0], *x[1][:4]), walk(x[0][3], codes, inner)))
+                _settle(tree, _added(squares.collect()))
     finally:
-        for kept in (blocks, state, before):
-            if kept is not None:
-                kept.unpersist()
+        for rdd in kept:
+            rdd.unpersist()
     return _model(trees, thresholds, library, cfg)
 
 

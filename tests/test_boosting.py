@@ -100,6 +100,7 @@ def test_rows_of_a_label_have_one_weight(spark):
     df = spark.createDataFrame([(i % 2, 1.0 + (i == 4), float(i)) for i in range(50)], "is_churn int, _weight double, x double")
     with pytest.raises(Exception, match="different weights"):
         B.boost(T.vectors(df, ["x"]), T.library(cfg, 1), cfg, 1)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
 def test_no_split_leaves_one_leaf(spark):
