@@ -5,7 +5,8 @@ splits to choose from, the same draws of rows and features, the same gains, the
 nodes. What differs is the work. A row is binned once; features of few bins share one code,
 so a level adds a row to a table for each code, where the library has one for each feature;
 only the smaller child of a split is summed, the other is the parent less it. Sums may differ
-from the library's in their last bits, and gains closer than TIE count as equal.
+from the library's in their last bits, and gains closer than TIE count as equal: of two features
+that part a node's rows alike the first drawn is taken, where in the library last bits may decide.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SAMPLE_ROWS = 20_000  # of which the features are grouped; the values of a code
 MOST_VALUES = 8 * CODE_SIZE  # beyond these the sample misled, and the group is taken apart
 CHUNK_ROWS = 1 << 15  # rows that are added to all tables before the next ones, so that they stay in the cache
 LINEAGE = 50  # rounds after which the state of the rows comes from the bins and all trees again
-TIE = 1e-11  # of the best gain
+TIE = 1e-12  # of the node's impurity; features with the same bins have sums that differ in the last bits
 POSITIVE = float(1 << 26)  # a row's mark in sums that count rows and positive rows at once
 EPSILON = np.finfo(float).eps
 MASK = (1 << 64) - 1
@@ -298,7 +299,7 @@ def best_split(node: Node, sums: np.ndarray, subset: list[int], bins: np.ndarray
     top = gain.max()
     if not top > 0:
         return None
-    where = np.flatnonzero(gain.ravel() >= top - TIE * abs(top))[0]
+    where = np.flatnonzero(gain.ravel() >= max(top - TIE * node.impurity(), 0.0))[0]
     f, b = divmod(int(where), sums.shape[1])
     return float(gain[f, b]), some[f], b, left[f, b], right[f, b]
 
